@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packrow.llm import hdlang, linededup, mixing, quality, simhash
+from packrow.llm import crf, hdlang, linededup, mixing, quality, simhash
 from packrow.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_quality, op6_lines, op7_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_quality, op5_rules, op6_lines, op7_language, op10_mixing)}
 ORACLE_SQL = {"op6_lines": linededup.ORACLE, "op10_mixing": mixing.ORACLE}
