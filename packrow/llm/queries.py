@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packrow.llm import crf, hdlang, linededup, mixing, quality, simhash
+from packrow.llm import crf, hdlang, iblt, linededup, mixing, quality, simhash, tokenstore
 from packrow.llm.common import table
 
 
@@ -12,6 +13,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,9 +33,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hdlang.identified(table(spark, sf_dir, "documents"))
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_quality, op5_rules, op6_lines, op7_language, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_quality, op5_rules, op6_lines, op7_language, op8_tokens, op10_mixing)}
 ORACLE_SQL = {"op6_lines": linededup.ORACLE, "op10_mixing": mixing.ORACLE}
