@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packrow.llm import crf, hdlang, iblt, linededup, mixing, quality, simhash, tokenstore
+from packrow.llm import crf, hdlang, iblt, linededup, mixing, quality, simhash, substrings, tokenstore
 from packrow.llm.common import table
 
 
@@ -37,9 +37,13 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_quality, op5_rules, op6_lines, op7_language, op8_tokens, op10_mixing)}
-ORACLE_SQL = {"op6_lines": linededup.ORACLE, "op10_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_fingerprints, op4_quality, op5_rules, op6_lines, op7_language, op8_tokens, op9_substrings, op10_mixing)}
+ORACLE_SQL = {"op6_lines": linededup.ORACLE, "op9_substrings": substrings.ORACLE, "op10_mixing": mixing.ORACLE}
