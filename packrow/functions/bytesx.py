@@ -53,14 +53,18 @@ def signed(b: Column, p: Place, n: int, endian: str = "little") -> Column:
 
 
 def double(b: Column, p: Place, endian: str = "little", size: int = 8) -> Column:
-    """An IEEE number of 8 or 4 bytes; NaN is null."""
+    """An IEEE number of 8 or 4 bytes, by exact arithmetic on its parts; NaN is null."""
+    h = hex_big(b, p, size, endian)
     if size == 8:
-        bits = signed(b, p, 8, endian)
-        value = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+        top, low = F.conv(F.substring(h, 1, 3), 16, 10).cast("int"), F.conv(F.substring(h, 4, 13), 16, 10).cast("bigint")
+        bits, exponent, sign = 52, top % 2048, F.when(top >= 2048, -1.0).otherwise(1.0)
     else:
-        bits = signed(b, p, 4, endian).cast("int")
-        value = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("intBitsToFloat"), bits).cast("float")
-    return F.when(bits.isNotNull() & ~F.isnan(value), value)
+        whole = F.conv(h, 16, 10).cast("bigint")
+        bits, exponent, sign, low = 23, (F.shiftright(whole, 23) % 256).cast("int"), F.when(whole >= 1 << 31, -1.0).otherwise(1.0), whole % (1 << 23)
+    last, bias = (2047, 1075) if size == 8 else (255, 150)
+    value = sign * F.when(exponent == 0, low * F.pow(F.lit(2.0), F.lit(1.0 - bias))).otherwise((low + (1 << bits)).cast("double") * F.pow(F.lit(2.0), (exponent - bias).cast("double")))
+    special = F.when((exponent == last) & (low == 0), sign * F.lit(float("inf")))
+    return F.when(exponent == last, special).otherwise(value).cast("double" if size == 8 else "float")
 
 
 def number(value: Column, n: int, endian: str = "little") -> Column:
@@ -80,6 +84,11 @@ def double_bytes(value: Column, endian: str = "little", size: int = 8) -> Column
     return number(bits, 4, endian)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value computed once. Worth it inside lambdas, where common expressions aren't shared."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def literal(raw: bytes) -> Column:
     return F.lit(bytearray(raw))
 

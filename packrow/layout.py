@@ -23,8 +23,15 @@ MAX_GROUP_ENTRIES, MAX_ENTRY_BYTES, MAX_GROUP_BYTES = 65_535, 65_535, 8 * 1024 *
 PRESENCES = ("optional", "required", "constant")
 
 
+_PLAIN = {"smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def spark_type(t: WireType) -> T.DataType:
-    return T._parse_datatype_string(t.spark)
+    """The Spark type of a wire type, also where no session runs (in workers)."""
+    if t.spark.startswith("decimal("):
+        precision, scale = t.spark[8:-1].split(",")
+        return T.DecimalType(int(precision), int(scale))
+    return _PLAIN[t.spark] if t.spark in _PLAIN else T._parse_datatype_string(t.spark)
 
 
 @dataclass(frozen=True)

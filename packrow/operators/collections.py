@@ -25,6 +25,11 @@ def group_header(b: Column, at: Column | int) -> tuple[Column, Column]:
     return bx.unsigned(b, at, 2).cast("int"), bx.unsigned(b, at + 2, 2).cast("int")
 
 
+def _headed(b: Column, at: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of struct(at, size, n) of the group at a place, each computed once."""
+    return bx.let(at, lambda x: bx.let(F.struct(x.alias("at"), *[c.alias(k) for k, c in zip(("size", "n"), group_header(b, x), strict=True)]), body))
+
+
 def group_count(codec: Codec, b: Column, name: str, header: bool = True) -> Column:
     """Entries of a group, from its header alone."""
     g, at = codec.group(name), access.group_place(codec, b, name, header)
@@ -45,20 +50,25 @@ def group_entries(codec: Codec, b: Column, name: str, header: bool = True) -> Co
     g = codec.group(name)
     if g.framed:
         raise WireError("not_fixed_size", f"{name} is framed; decode the record instead")
-    at = access.group_place(codec, b, name, header)
-    size, n = group_header(b, at)
-    entry = lambda i: _entry(g, bx.cut(b, at + 4 + i * size, size))
     kind = g.spark_type().simpleString()
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), entry)).when(n == 0, F.array().cast(kind)).cast(kind)
+
+    def all_of(h: Column) -> Column:
+        entries = F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda i: bx.let(bx.cut(b, h["at"] + 4 + i * h["size"], h["size"]), lambda raw: _entry(g, raw)))
+        return F.when(h["n"] > 0, entries).when(h["n"] == 0, F.array().cast(kind)).cast(kind)
+
+    return _headed(b, access.group_place(codec, b, name, header), all_of)
 
 
 def group_entry(codec: Codec, b: Column, name: str, i: int | Column, header: bool = True) -> Column:
     """struct(entry, error): the i-th entry alone, without decoding the others."""
-    g, at = codec.group(name), access.group_place(codec, b, name, header)
-    size, n = group_header(b, at)
-    i = bx.place(i)
-    error = F.when((i < 0) | (i >= n), F.lit("index_out_of_bounds")).when(F.octet_length(b) < at + 4 + (i + 1) * size, F.lit("entry_out_of_bounds"))
-    return F.struct(F.when(error.isNull(), _entry(g, bx.cut(b, at + 4 + i * size, size))).alias("entry"), error.alias("error"))
+    g, i = codec.group(name), bx.place(i)
+
+    def one(h: Column) -> Column:
+        error = F.when((i < 0) | (i >= h["n"]), F.lit("index_out_of_bounds")).when(F.octet_length(b) < h["at"] + 4 + (i + 1) * h["size"], F.lit("entry_out_of_bounds"))
+        entry = bx.let(F.when(error.isNull(), bx.cut(b, h["at"] + 4 + i * h["size"], h["size"])), lambda raw: F.when(raw.isNotNull(), _entry(g, raw)))
+        return F.struct(entry.alias("entry"), error.alias("error"))
+
+    return _headed(b, access.group_place(codec, b, name, header), one)
 
 
 def group_field(codec: Codec, b: Column, name: str, i: int | Column, field: str, header: bool = True) -> Column:
@@ -92,7 +102,7 @@ def encode_group(g: Group, entries: Column) -> Column:
     if g.framed:
         raise WireError("not_fixed_size", f"{g.name} is framed; use arrowio.encode")
     one = lambda e: access.encode_columns(g.entry, {"value": e} if g.is_scalar else {f.name: e[f.name] for f in g.fields}, header=False)
-    raw = F.aggregate(entries, F.lit(bytearray()), lambda acc, e: F.concat(acc, one(e)))
+    raw = F.unhex(F.array_join(F.transform(entries, lambda e: F.hex(one(e))), ""))
     n = F.size(entries)
     n = F.when(n > MAX_GROUP_ENTRIES, F.raise_error(F.lit("max_entries_exceeded")).cast("int")).otherwise(n)
     return F.concat(bx.number(F.when(n > 0, g.entry.block_length).otherwise(0), 2), bx.number(n, 2), raw)
@@ -146,15 +156,16 @@ def by_type(codec: Codec, b: Column, name: str, kind: str, header: bool = True)
     if batch.strategy != "padded_union":
         raise WireError("not_fixed_size", "filter the decoded entries by tag instead")
     tag, own = batch.tag_of(kind), batch.any_of[batch.tag_of(kind)]
-    size, n = group_header(b, at)
-    places = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: at + 4 + i * size)
-    mine = F.filter(places, lambda p: bx.cut(b, p + 4, 1) == bx.literal(bytes([tag])))
 
     def entry(p: Column) -> Column:
-        raw = bx.cut(b, p + 5, own.block_length)
-        return F.struct(bx.unsigned(b, p, 4).alias("seq"), F.struct(*[access.get(own, raw, f.name, header=False).alias(f.name) for f in own.fixed]).alias("entry"))
+        fields = lambda raw: F.struct(*[access.get(own, raw, f.name, header=False).alias(f.name) for f in own.fixed])
+        return F.struct(bx.unsigned(b, p, 4).alias("seq"), bx.let(bx.cut(b, p + 5, own.block_length), fields).alias("entry"))
+
+    def mine(h: Column) -> Column:
+        places = F.transform(F.when(h["n"] > 0, F.sequence(F.lit(0), h["n"] - 1)).otherwise(F.array().cast("array<int>")), lambda i: h["at"] + 4 + i * h["size"])
+        return F.transform(F.filter(places, lambda p: bx.cut(b, p + 4, 1) == bx.literal(bytes([tag]))), entry)
 
-    return F.transform(mine, entry)
+    return _headed(b, at, mine)
 
 
 def entries_of(batch: Batch, entries: Column, kind: str) -> Column:

@@ -33,6 +33,12 @@ def _inside(n: int, expr: str) -> str:
     return f"CASE WHEN octet_length(d) >= p + {n} THEN {expr} END"
 
 
+def _ieee(exponent: str, low: str, negative: str, bits: int, last: int, bias: int) -> str:
+    """A floating number from its parts; NaN is null."""
+    sign = f"(CASE WHEN {negative} THEN -1D ELSE 1D END)"
+    return f"CASE WHEN {exponent} = {last} THEN CASE WHEN {low} = 0 THEN {sign} * double('Infinity') END WHEN {exponent} = 0 THEN {sign} * {low} * pow(2D, {1 - bias}D) ELSE {sign} * CAST({low} + {1 << bits} AS DOUBLE) * pow(2D, {exponent} - {bias}) END"
+
+
 def readers(prefix: str = "") -> list[str]:
     """One statement for each byte reader; all take (bytes, zero-based place)."""
     f = lambda name, kind, body: f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}(d BINARY, p INT) RETURNS {kind} RETURN {body}"
@@ -57,8 +63,11 @@ def readers(prefix: str = "") -> list[str]:
     for name, n in (("read_string8", 1), ("read_string16", 2), ("read_string32", 4)):
         length = f"CAST({_le(n)} AS INT)"
         out.append(f(name, "STRING", _inside(n, f"CASE WHEN {length} > 0 AND octet_length(d) >= p + {n} + {length} THEN decode(substring(d, p + {n + 1}, {length}), 'UTF-8') END")))
-    out.append(f("read_f64", "DOUBLE", _inside(8, f"nullif(CAST(java_method('java.lang.Double', 'longBitsToDouble', {mantissa}) AS DOUBLE), double('NaN'))")))
-    out.append(f("read_f32", "FLOAT", _inside(4, f"nullif(CAST(java_method('java.lang.Float', 'intBitsToFloat', CAST(CAST({_le(4)} AS BIGINT) - CASE WHEN CAST({_le(4)} AS BIGINT) >= 2147483648 THEN 4294967296 ELSE 0 END AS INT)) AS FLOAT), float('NaN'))")))
+    h8 = "concat(" + ", ".join(f"substring({_HEX.format(n=8)}, {2 * i + 1}, 2)" for i in reversed(range(8))) + ")"
+    top, low = f"CAST(conv(substring({h8}, 1, 3), 16, 10) AS INT)", f"CAST(conv(substring({h8}, 4, 13), 16, 10) AS BIGINT)"
+    out.append(f("read_f64", "DOUBLE", _inside(8, _ieee(f"({top} % 2048)", low, f"{top} >= 2048", 52, 2047, 1075))))
+    whole = f"CAST({_le(4)} AS BIGINT)"
+    out.append(f("read_f32", "FLOAT", _inside(4, f"CAST({_ieee(f'(shiftright({whole}, 23) % 256)', f'({whole} % 8388608)', f'{whole} >= 2147483648', 23, 255, 150)} AS FLOAT)")))
     header = ", ".join(f"CAST(conv(concat(substring(hex(substring(d, {a}, 2)), 3, 2), substring(hex(substring(d, {a}, 2)), 1, 2)), 16, 10) AS INT)" for a in (1, 3, 5, 7))
     out.append(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}read_header(d BINARY) RETURNS TABLE(block_length INT, template_id INT, schema_id INT, version INT) RETURN SELECT {header}")
     return out

@@ -176,7 +176,7 @@ def encode(df: DataFrame, codec: Codec, out: str = "data", keep: list[str] | Non
 
 
 def _errors(codes: list, details: list) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(details, pa.string())], names=["code", "detail"], mask=pa.array([c is None for c in codes]))
+    return pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(details, pa.string())], names=["code", "detail"], mask=pa.array([c is None for c in codes], pa.bool_()))
 
 
 def decode_batch(codec: Codec, data: pa.Array, fields: list[str], header: bool = True, missing_group: str = "error") -> tuple[list[pa.Array], pa.Array]:

@@ -119,7 +119,7 @@ class Int(WireType):
 
     def write(self, value, endian="little"):
         typed = value.cast(bx.U64 if self.name == "u64" else "bigint")
-        return bx.number(F.coalesce(typed, F.lit(self.sentinel).cast(bx.U64) if self.name == "u64" else F.lit(self.sentinel)), self.size, endian)
+        return bx.number(F.coalesce(typed, F.lit(decimal.Decimal(self.sentinel)).cast(bx.U64) if self.name == "u64" else F.lit(self.sentinel)), self.size, endian)
 
     def check(self, value):
         wide = value.cast("decimal(38,0)")
@@ -263,7 +263,7 @@ class Decimal(WireType):
 
     def read(self, b, p, endian="little"):
         mantissa, exponent = self.parts(b, p)
-        unit = F.element_at(F.array(*[F.lit(decimal.Decimal(1).scaleb(-k)).cast(f"decimal({self.scale + 10},{self.scale})") for k in range(self.scale, -10, -1)]), exponent + self.scale + 1)
+        unit = F.element_at(F.array(*[F.lit(decimal.Decimal(1).scaleb(-k)).cast(f"decimal({self.scale + 10},{self.scale})") for k in range(self.scale, -10, -1)]), (exponent + self.scale + 1).cast("int"))
         inside = (exponent >= -self.scale) & (exponent < 10)
         return F.when((mantissa != _MINUS_63) & inside, (mantissa.cast("decimal(19,0)") * F.when(inside, unit)).cast(self.spark))
 
