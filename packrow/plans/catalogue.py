@@ -23,7 +23,11 @@ from packrow.types import Int, Refined
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-D = F.col("data")
+
+
+def data():
+    """The column of records."""
+    return F.col("data")
 
 
 def query(oracle: str):
@@ -55,13 +59,13 @@ def _orders(spark, sf_dir, keep=("o_orderkey",), header=True):
 
 @query("SELECT o_orderkey, 46::BIGINT AS block_length, 1::BIGINT AS template_id, 100::BIGINT AS schema_id, 2::BIGINT AS version FROM orders")
 def header_parse(spark, sf_dir):
-    h = access.header(D)
+    h = access.header(data())
     return longs(_orders(spark, sf_dir).select("o_orderkey", h["block_length"].alias("block_length"), h["template_id"].alias("template_id"), h["schema_id"].alias("schema_id"), h["version"].alias("version")))
 
 
 @query("SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'insufficient_data' WHEN o_orderkey % 3 = 1 THEN 'version_exceeded' END AS error, count(*) AS n FROM orders GROUP BY 1")
 def header_errors(spark, sf_dir):
-    cut = F.when(F.col("o_orderkey") % 3 == 0, F.substring("data", 1, 5)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.substring("data", 1, 6), bx.literal(b"\x09\x00"), F.substring("data", 9, 1000))).otherwise(D)
+    cut = F.when(F.col("o_orderkey") % 3 == 0, F.substring("data", 1, 5)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.substring("data", 1, 6), bx.literal(b"\x09\x00"), F.substring("data", 9, 1000))).otherwise(data())
     return _orders(spark, sf_dir).select(access.header_error(cut, max_block_length=100, max_version=5).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -69,7 +73,7 @@ def header_errors(spark, sf_dir):
 def header_built(spark, sf_dir):
     """A header made in SQL equals the one the encoder writes."""
     built = access.header_encode(1, ORDER.block_length, 100, 2)
-    rows = _orders(spark, sf_dir).where((F.substring("data", 1, 8) == built) & (access.template_id(D) == 1))
+    rows = _orders(spark, sf_dir).where((F.substring("data", 1, 8) == built) & (access.template_id(data()) == 1))
     total = rows.agg(F.count("*").alias("n"))
     return rows.select("o_orderkey").join(F.broadcast(total))  # one row
 
@@ -96,7 +100,7 @@ def encode_columns(spark, sf_dir):
     """Encoding and decoding in generated code alone."""
     rows = records.orders(spark, sf_dir)
     made = rows.select("o_orderkey", access.encode_columns(ORDER, {f.name: F.col(f.name) for f in ORDER.fields}).alias("data"))
-    return _shown(made.select("o_orderkey", *access.decode_columns(ORDER, D)))
+    return _shown(made.select("o_orderkey", *access.decode_columns(ORDER, data())))
 
 
 @query("SELECT l_orderkey AS order_key, l_partkey AS part, l_suppkey AS supplier, l_linenumber::BIGINT AS line, CASE WHEN l_linenumber <> 3 THEN CAST(l_quantity AS BIGINT) END AS quantity, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_cents, l_tax AS tax, CAST(l_discount AS FLOAT)::DOUBLE AS discount, l_returnflag AS return_flag, l_linestatus AS status, epoch_us(l_shipdate) AS ship, CAST(round(l_extendedprice * 100) AS BIGINT) AS unit_cents FROM lineitem")
@@ -107,30 +111,30 @@ def decode_lineitem(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, {_PRICE} AS price, o_orderkey % 1000 AS quantity, CAST(NULL AS VARCHAR) AS nothing, CAST(NULL AS VARCHAR) AS symbol FROM orders")
 def decode_only(spark, sf_dir):
-    return longs(_orders(spark, sf_dir).select("o_orderkey", access.decode_only(ORDER, D, ["price", "quantity", "nothing", "symbol"]).alias("r")).select("o_orderkey", "r.*"))
+    return longs(_orders(spark, sf_dir).select("o_orderkey", access.decode_only(ORDER, data(), ["price", "quantity", "nothing", "symbol"]).alias("r")).select("o_orderkey", "r.*"))
 
 
 @query(f"SELECT o_orderkey, {_PRICE} AS price, {_SIDE} AS side, o_orderpriority AS symbol FROM orders")
 def get_field(spark, sf_dir):
-    return longs(_orders(spark, sf_dir).select("o_orderkey", access.get(ORDER, D, "price").alias("price"), access.get(ORDER, D, "side").alias("side"), access.get(ORDER, D, "symbol").alias("symbol")))
+    return longs(_orders(spark, sf_dir).select("o_orderkey", access.get(ORDER, data(), "price").alias("price"), access.get(ORDER, data(), "side").alias("side"), access.get(ORDER, data(), "symbol").alias("symbol")))
 
 
 @query(f"SELECT o_orderkey, {_PRICE} AS price FROM orders")
 def get_by_spec(spark, sf_dir):
     kind, at, endian = ORDER.field_spec("price")
-    return longs(_orders(spark, sf_dir).select("o_orderkey", access.read(D, kind, at, endian).alias("price")))
+    return longs(_orders(spark, sf_dir).select("o_orderkey", access.read(data(), kind, at, endian).alias("price")))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END AS ok FROM events")
 def null_sentinels(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT)
-    return longs(e.select(access.get(EVENT, D, "event_id").alias("event_id"), access.get(EVENT, D, "user_id").alias("user_id"), access.get(EVENT, D, "ok").alias("ok")))
+    return longs(e.select(access.get(EVENT, data(), "event_id").alias("event_id"), access.get(EVENT, data(), "user_id").alias("user_id"), access.get(EVENT, data(), "ok").alias("ok")))
 
 
 @query("SELECT event_id, CASE WHEN user_id % 10 <> 0 THEN user_id ELSE 4294967295 END AS user_id FROM events WHERE event_type = 'click'")
 def match_raw(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT)
-    m = e.select(access.match_raw(EVENT, D, ["event_id", "user_id"], kind="click").alias("m"))
+    m = e.select(access.match_raw(EVENT, data(), ["event_id", "user_id"], kind="click").alias("m"))
     return longs(m.where("m.matched").select("m.event_id", "m.user_id"))
 
 
@@ -138,7 +142,7 @@ def match_raw(spark, sf_dir):
 def match_raw_null(spark, sf_dir):
     """A literal of null matches the sentinel."""
     e = encoded(records.events(spark, sf_dir), EVENT)
-    return e.select(access.match_raw(EVENT, D, ["event_id"], user_id=None).alias("m")).where("m.matched").select("m.event_id")
+    return e.select(access.match_raw(EVENT, data(), ["event_id"], user_id=None).alias("m")).where("m.matched").select("m.event_id")
 
 
 # -- predicates and comparisons -----------------------------------------------------------------------------------------
@@ -171,7 +175,7 @@ def match_and(spark, sf_dir):
 @query("SELECT event_id + 1 AS span_id, epoch_us(ts) * 1000 AS start_ns, event_type AS name FROM events WHERE event_id % 2 = 1")
 def match_select(spark, sf_dir):
     s = encoded(records.spans(spark, sf_dir), SPAN)
-    found = predicates.matcher(SPAN, lambda f: f.flags.bitwiseAND(F.lit(1)) == 1, select=["span_id", "start_ns", "name"])(D)
+    found = predicates.matcher(SPAN, lambda f: f.flags.bitwiseAND(F.lit(1)) == 1, select=["span_id", "start_ns", "name"])(data())
     return longs(s.select(found.alias("m")).where("m IS NOT NULL").select("m.*"))
 
 
@@ -190,40 +194,40 @@ def match_payload(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE round(o_totalprice * 100) >= 20000000")
 def compare_value(spark, sf_dir):
-    return _orders(spark, sf_dir).where(predicates.compare(ORDER, D, "price", ">=", 20_000_000)).select("o_orderkey")
+    return _orders(spark, sf_dir).where(predicates.compare(ORDER, data(), "price", ">=", 20_000_000)).select("o_orderkey")
 
 
 @query("SELECT event_id FROM events WHERE user_id % 10 = 0 OR user_id < 5")
 def compare_nulls_first(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT, ["event_id"])
-    return e.where(predicates.compare(EVENT, D, "user_id", "<", 5)).select("event_id")
+    return e.where(predicates.compare(EVENT, data(), "user_id", "<", 5)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE user_id % 10 = 0")
 def compare_null_equal(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT, ["event_id"])
-    return e.where(predicates.compare(EVENT, D, "user_id", "==", None)).select("event_id")
+    return e.where(predicates.compare(EVENT, data(), "user_id", "==", None)).select("event_id")
 
 
 @query("SELECT a.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE round(a.o_totalprice * 100) < round(b.o_totalprice * 100)")
 def compare_binaries(spark, sf_dir):
     a = _orders(spark, sf_dir)
-    b = a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), D.alias("other"))
-    return a.join(b, "o_orderkey").where(predicates.compare_binaries(ORDER, D, F.col("other"), "price", "<")).select("o_orderkey")
+    b = a.select((F.col("o_orderkey") - 1).alias("o_orderkey"), data().alias("other"))
+    return a.join(b, "o_orderkey").where(predicates.compare_binaries(ORDER, data(), F.col("other"), "price", "<")).select("o_orderkey")
 
 
 @query("SELECT l_orderkey AS order_key, l_linenumber::BIGINT AS line FROM lineitem WHERE CAST(round(l_extendedprice * 100) AS BIGINT) >= 5000050")
 def compare_decimal(spark, sf_dir):
     """By value, whatever the number of digits."""
     d = encoded(records.lines(spark, sf_dir), LINE)
-    hit = predicates.compare(LINE, D, "unit", ">=", F.lit("50000.500").cast("decimal(38,8)"))
-    return longs(d.where(hit).select(access.get(LINE, D, "order_key").alias("order_key"), access.get(LINE, D, "line").alias("line")))
+    hit = predicates.compare(LINE, data(), "unit", ">=", F.lit("50000.500").cast("decimal(38,8)"))
+    return longs(d.where(hit).select(access.get(LINE, data(), "order_key").alias("order_key"), access.get(LINE, data(), "line").alias("line")))
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE {_SIDE} IN ('sell', 'cancel')")
 def compare_enum(spark, sf_dir):
     """Enums compare by number."""
-    return _orders(spark, sf_dir).where(predicates.compare(ORDER, D, "side", ">", "buy")).select("o_orderkey")
+    return _orders(spark, sf_dir).where(predicates.compare(ORDER, data(), "side", ">", "buy")).select("o_orderkey")
 
 
 # -- types -----------------------------------------------------------------------------------------------------------
@@ -231,7 +235,7 @@ def compare_enum(spark, sf_dir):
 
 @query(f"SELECT {_SIDE} AS side, count(*) AS n FROM orders GROUP BY 1")
 def enum_name(spark, sf_dir):
-    number = _orders(spark, sf_dir).select(access.raw(ORDER, D, "side").cast("int").alias("id"))
+    number = _orders(spark, sf_dir).select(access.raw(ORDER, data(), "side").cast("int").alias("id"))
     return number.join(F.broadcast(sqlgen.enum_table(spark, SIDE)), "id", "left").groupBy(F.col("name").alias("side")).agg(F.count("*").alias("n"))
 
 
@@ -244,46 +248,46 @@ def enum_unknown(spark, sf_dir):
 @query("SELECT event_id, event_id % 2 = 1 AS admin, (event_id % 16) // 8 = 1 AS banned, event_id % 16 AS number, bit_count(CAST(event_id % 16 AS INTEGER))::BIGINT AS n FROM events")
 def bitset_flags(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT, ["event_id"])
-    number = access.raw(EVENT, D, "roles")
-    names = access.get(EVENT, D, "roles")
+    number = access.raw(EVENT, data(), "roles")
+    names = access.get(EVENT, data(), "roles")
     return longs(e.select("event_id", ROLES.has(number, "admin").alias("admin"), F.array_contains(names, "banned").alias("banned"), scalars.flags_number(ROLES, names).alias("number"), F.size(scalars.flags_of(ROLES, number)).alias("n")))
 
 
 @query("SELECT CASE WHEN event_id % 3 = 0 THEN true WHEN event_id % 3 = 1 THEN false END AS ok, count(*) AS n FROM events GROUP BY 1")
 def bool_tristate(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT)
-    return e.groupBy(access.get(EVENT, D, "ok").alias("ok")).agg(F.count("*").alias("n"))
+    return e.groupBy(access.get(EVENT, data(), "ok").alias("ok")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem")
 def decimal_roundtrip(spark, sf_dir):
     d = encoded(records.lines(spark, sf_dir), LINE)
-    return d.agg((F.sum(access.get(LINE, D, "unit")) * 100).cast("bigint").alias("cents"), F.count("*").alias("n"))
+    return d.agg((F.sum(access.get(LINE, data(), "unit")) * 100).cast("bigint").alias("cents"), F.count("*").alias("n"))
 
 
 @query("SELECT l_returnflag AS return_flag, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY 1")
 def decimal_scaled(spark, sf_dir):
     d = encoded(records.lines(spark, sf_dir), LINE)
-    return d.groupBy(access.get(LINE, D, "return_flag").alias("return_flag")).agg((F.sum(access.get(LINE, D, "price")) * 100).cast("bigint").alias("cents"))
+    return d.groupBy(access.get(LINE, data(), "return_flag").alias("return_flag")).agg((F.sum(access.get(LINE, data(), "price")) * 100).cast("bigint").alias("cents"))
 
 
 @query("SELECT event_id, epoch_us(ts) AS at FROM events")
 def timestamp_us(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT, ["event_id"])
-    return e.select("event_id", scalars.time_to_micros(scalars.micros_to_time(access.get(EVENT, D, "at"))).alias("at"))
+    return e.select("event_id", scalars.time_to_micros(scalars.micros_to_time(access.get(EVENT, data(), "at"))).alias("at"))
 
 
 @query("SELECT event_id + 1 AS span_id, epoch_us(ts) AS start_us FROM events")
 def datetime_ns_trunc(spark, sf_dir):
     """What is below a microsecond is lost when nanoseconds become a time."""
     s = records.spans(spark, sf_dir).withColumn("start_ns", F.col("start_ns") + 999)
-    return longs(encoded(s, SPAN).select(access.get(SPAN, D, "span_id").alias("span_id"), F.unix_micros(scalars.nanos_to_time(access.get(SPAN, D, "start_ns"))).alias("start_us")))
+    return longs(encoded(s, SPAN).select(access.get(SPAN, data(), "span_id").alias("span_id"), F.unix_micros(scalars.nanos_to_time(access.get(SPAN, data(), "start_ns"))).alias("start_us")))
 
 
 @query("SELECT event_id, value FROM events")
 def float_roundtrip(spark, sf_dir):
     e = encoded(records.events(spark, sf_dir), EVENT, ["event_id"])
-    return e.select("event_id", access.get(EVENT, D, "value").alias("value"))
+    return e.select("event_id", access.get(EVENT, data(), "value").alias("value"))
 
 
 def _customers(spark, sf_dir):
@@ -298,32 +302,32 @@ _CUST = "(SELECT *, lpad(lower(to_hex(c_custkey)), 32, '0') AS h FROM customer)"
 
 @query(f"SELECT c_custkey, CASE WHEN c_custkey > 0 THEN {_DASHED} END AS key FROM {_CUST}")
 def uuid_string(spark, sf_dir):
-    return encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"]).select("c_custkey", access.get(CUSTOMER, D, "key").alias("key"))
+    return encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"]).select("c_custkey", access.get(CUSTOMER, data(), "key").alias("key"))
 
 
 @query(f"SELECT c_custkey, 'cust-' || {_DASHED} AS id, true AS valid FROM {_CUST}")
 def prefixed_id(spark, sf_dir):
     """The tag keeps an all-zero uuid from being null."""
-    c = encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"]).select("c_custkey", access.get(CUSTOMER, D, "id").alias("id"))
+    c = encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"]).select("c_custkey", access.get(CUSTOMER, data(), "id").alias("id"))
     return c.withColumn("valid", scalars.prefixed_valid(records.CUSTOMER_ID, F.col("id")))
 
 
 @query("SELECT left(c_mktsegment, 8) AS segment, count(*) AS n FROM customer GROUP BY 1")
 def char_array(spark, sf_dir):
-    return encoded(_customers(spark, sf_dir), CUSTOMER).groupBy(access.get(CUSTOMER, D, "segment").alias("segment")).agg(F.count("*").alias("n"))
+    return encoded(_customers(spark, sf_dir), CUSTOMER).groupBy(access.get(CUSTOMER, data(), "segment").alias("segment")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey > 5 THEN 'nation ' || c_nationkey END AS note, repeat(c_mktsegment, 3) AS text FROM customer")
 def strings_chain(spark, sf_dir):
     c = encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"])
-    return c.select("c_custkey", *[access.get(CUSTOMER, D, n).alias(n) for n in ("name", "note", "text")])
+    return c.select("c_custkey", *[access.get(CUSTOMER, data(), n).alias(n) for n in ("name", "note", "text")])
 
 
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def string32_documents(spark, sf_dir):
     codec = Codec("Doc", [Field("doc_id", "i64"), Field("text", "string32")], template_id=50)
     d = encoded(records.table(spark, sf_dir, "documents"), codec)
-    return d.select(access.get(codec, D, "doc_id").alias("doc_id"), F.md5(access.get(codec, D, "text").cast("binary")).alias("digest"))
+    return d.select(access.get(codec, data(), "doc_id").alias("doc_id"), F.md5(access.get(codec, data(), "text").cast("binary")).alias("digest"))
 
 
 @query("SELECT vec_id, label::BIGINT AS label, len(embedding)::BIGINT AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
@@ -363,7 +367,7 @@ def _books(spark, sf_dir):
 
 @query("SELECT l_orderkey AS order_key, l_partkey AS part, CAST(l_quantity AS BIGINT) AS quantity, l_linenumber::BIGINT AS line, l_returnflag = 'R' AS returned FROM lineitem")
 def group_explode(spark, sf_dir):
-    b = _books(spark, sf_dir).select("order_key", collections.group_entries(BOOK, D, "lines").alias("lines"))
+    b = _books(spark, sf_dir).select("order_key", collections.group_entries(BOOK, data(), "lines").alias("lines"))
     return longs(collections.stream_group(b, "lines", ["order_key"]).select("order_key", "entry.*"))
 
 
@@ -377,12 +381,12 @@ def group_stream_filter(spark, sf_dir):
 @query("SELECT l_orderkey AS order_key, count(*) AS n, count(*) AS parts FROM lineitem GROUP BY 1")
 def group_count(spark, sf_dir):
     b = _books(spark, sf_dir)
-    return longs(b.select("order_key", collections.group_count(BOOK, D, "lines").alias("n"), collections.group_count(BOOK, D, "parts").alias("parts")))
+    return longs(b.select("order_key", collections.group_count(BOOK, data(), "lines").alias("n"), collections.group_count(BOOK, data(), "parts").alias("parts")))
 
 
 @query("SELECT l_orderkey AS order_key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
 def group_reduce(spark, sf_dir):
-    b = _books(spark, sf_dir).select("order_key", collections.group_entries(BOOK, D, "lines").alias("lines"))
+    b = _books(spark, sf_dir).select("order_key", collections.group_entries(BOOK, data(), "lines").alias("lines"))
     return b.select("order_key", collections.reduce_group(F.col("lines"), F.lit(0).cast("bigint"), lambda a, e: a + e["quantity"]).alias("quantity"))
 
 
@@ -391,13 +395,13 @@ _RANKED = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_line
 
 @query(f"SELECT o.k AS order_key, r.l_partkey AS part, CASE WHEN r.l_partkey IS NULL THEN 'index_out_of_bounds' END AS error FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) o LEFT JOIN {_RANKED} r ON r.l_orderkey = o.k AND r.rn = 2")
 def group_entry_at(spark, sf_dir):
-    b = _books(spark, sf_dir).select("order_key", collections.group_entry(BOOK, D, "lines", 1).alias("e"))
+    b = _books(spark, sf_dir).select("order_key", collections.group_entry(BOOK, data(), "lines", 1).alias("e"))
     return longs(b.select("order_key", F.col("e.entry.part").alias("part"), "e.error"))
 
 
 @query(f"SELECT l_orderkey AS order_key, CAST(l_quantity AS BIGINT) AS quantity FROM {_RANKED} WHERE rn = 1")
 def group_field_at(spark, sf_dir):
-    return longs(_books(spark, sf_dir).select("order_key", collections.group_field(BOOK, D, "lines", 0, "quantity").alias("quantity")))
+    return longs(_books(spark, sf_dir).select("order_key", collections.group_field(BOOK, data(), "lines", 0, "quantity").alias("quantity")))
 
 
 @query(f"SELECT l_orderkey AS order_key, CAST(list_sum(list(l_partkey ORDER BY rn)[1:2]) AS BIGINT) AS two FROM {_RANKED} GROUP BY 1")
@@ -406,7 +410,7 @@ def group_scalar(spark, sf_dir):
     rows = records.line_arrays(spark, sf_dir)
     only = Codec("Parts", [Field("order_key", "i64")], template_id=53, groups=[BOOK.groups[1]])
     made = rows.select("order_key", F.concat(bx.literal(only.header_bytes()), Int("i64").write(F.col("order_key")), collections.encode_group(only.groups[0], F.col("parts"))).alias("data"))
-    two = collections.take(collections.group_entries(only, D, "parts"), 2)
+    two = collections.take(collections.group_entries(only, data(), "parts"), 2)
     return made.select("order_key", F.aggregate(two, F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("two"))
 
 
@@ -420,13 +424,13 @@ def group_framed(spark, sf_dir):
 def group_rest_size(spark, sf_dir):
     """Behind the first group stand the second and the text."""
     b = _books(spark, sf_dir)
-    return longs(b.select("order_key", F.octet_length(collections.group_rest(BOOK, D, "lines")).alias("rest"), access.get(BOOK, D, "note").alias("note")))
+    return longs(b.select("order_key", F.octet_length(collections.group_rest(BOOK, data(), "lines")).alias("rest"), access.get(BOOK, data(), "note").alias("note")))
 
 
 @query("SELECT l_orderkey AS order_key, CASE l_orderkey % 3 WHEN 0 THEN 'insufficient_header' WHEN 1 THEN 'insufficient_data' END AS error FROM lineitem GROUP BY 1")
 def group_errors(spark, sf_dir):
     b = _books(spark, sf_dir)
-    cut = F.when(F.col("order_key") % 3 == 0, F.substring("data", 1, 18)).when(F.col("order_key") % 3 == 1, F.substring("data", 1, 25)).otherwise(D)
+    cut = F.when(F.col("order_key") % 3 == 0, F.substring("data", 1, 18)).when(F.col("order_key") % 3 == 1, F.substring("data", 1, 25)).otherwise(data())
     return b.select("order_key", collections.group_error(cut, 16).alias("error"))
 
 
@@ -489,14 +493,14 @@ def batch_per_type_merge(spark, sf_dir):
 @query("SELECT user_id, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS cents, event_id % 4 AS level FROM events WHERE event_type = 'purchase'")
 def batch_by_type(spark, sf_dir):
     codec, b = _boxes(spark, sf_dir, "padded_union")
-    rows = b.select(access.get(codec, D, "user_id").alias("user_id"), F.explode(collections.by_type(codec, D, "commands", "Buy")).alias("e"))
+    rows = b.select(access.get(codec, data(), "user_id").alias("user_id"), F.explode(collections.by_type(codec, data(), "commands", "Buy")).alias("e"))
     return longs(rows.select("user_id", "e.seq", "e.entry.cents", "e.entry.level"))
 
 
 @query("SELECT user_id, count(*) AS n, 4 + 26 * count(*) AS bytes FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1")
 def batch_wire_size(spark, sf_dir):
     codec, b = _boxes(spark, sf_dir, "padded_union")
-    return longs(b.select(access.get(codec, D, "user_id").alias("user_id"), collections.batch_count(codec, D, "commands").alias("n"), collections.batch_wire_size(codec, D, "commands").alias("bytes")))
+    return longs(b.select(access.get(codec, data(), "user_id").alias("user_id"), collections.batch_count(codec, data(), "commands").alias("n"), collections.batch_wire_size(codec, data(), "commands").alias("bytes")))
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS last FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1")
@@ -525,28 +529,28 @@ def dispatch_mixed(spark, sf_dir):
 @query("SELECT 'unknown_message' AS error, count(*) AS n FROM events UNION ALL SELECT NULL, count(*) FROM orders")
 def dispatch_unknown(spark, sf_dir):
     r = evolution.Registry([ORDER])
-    return _mixed(spark, sf_dir).groupBy(r.error(D).alias("error")).agg(F.count("*").alias("n"))
+    return _mixed(spark, sf_dir).groupBy(r.error(data()).alias("error")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT o_orderkey AS k, {_PRICE} AS price, CAST(NULL AS VARCHAR) AS error FROM orders UNION ALL SELECT event_id, NULL, 'unknown type: nope' FROM events")
 def universal_json(spark, sf_dir):
     r = evolution.Registry([ORDER, EVENT])
-    name = F.when(r.type_name(D) == "OrderCreated", "OrderCreated").otherwise("nope")
-    j = _mixed(spark, sf_dir).select("k", r.to_json(D, name).alias("j"))
+    name = F.when(r.type_name(data()) == "OrderCreated", "OrderCreated").otherwise("nope")
+    j = _mixed(spark, sf_dir).select("k", r.to_json(data(), name).alias("j"))
     return j.select("k", F.get_json_object("j", "$.price").cast("bigint").alias("price"), F.get_json_object("j", "$._error").alias("error"))
 
 
 @query("SELECT c_custkey, c_name AS name, CAST(round(c_acctbal * 100) AS BIGINT) AS cents, true AS pretty FROM customer")
 def json_roundtrip(spark, sf_dir):
     c = encoded(_customers(spark, sf_dir), CUSTOMER, ["c_custkey"])
-    j = c.select("c_custkey", evolution.to_json(CUSTOMER, D).alias("j"), evolution.to_json(CUSTOMER, D, pretty=True).contains("\n").alias("pretty"))
+    j = c.select("c_custkey", evolution.to_json(CUSTOMER, data()).alias("j"), evolution.to_json(CUSTOMER, data(), pretty=True).contains("\n").alias("pretty"))
     back = encoded(j.select("c_custkey", "pretty", evolution.from_json(F.col("j"), CUSTOMER).alias("r")).select("c_custkey", "pretty", "r.*"), CUSTOMER, ["c_custkey", "pretty"])
-    return longs(back.select("c_custkey", access.get(CUSTOMER, D, "name").alias("name"), (access.get(CUSTOMER, D, "balance") * 100).cast("bigint").alias("cents"), "pretty"))
+    return longs(back.select("c_custkey", access.get(CUSTOMER, data(), "name").alias("name"), (access.get(CUSTOMER, data(), "balance") * 100).cast("bigint").alias("cents"), "pretty"))
 
 
 @query(f"SELECT 'price' AS name, 33::BIGINT AS \"offset\", 8::BIGINT AS size, CAST({_PRICE} AS VARCHAR) AS value, o_orderkey FROM orders")
 def inspect_layout(spark, sf_dir):
-    o = _orders(spark, sf_dir).select("o_orderkey", F.explode(access.inspect_fields(ORDER, D)).alias("f"))
+    o = _orders(spark, sf_dir).select("o_orderkey", F.explode(access.inspect_fields(ORDER, data())).alias("f"))
     return longs(o.where("f.name = 'price'").select("f.name", "f.offset", "f.size", "f.value", "o_orderkey"))
 
 
@@ -554,7 +558,7 @@ def inspect_layout(spark, sf_dir):
 def transcode_rename(spark, sf_dir):
     t = evolution.Transcoder(SPAN, ENVELOPE, {"span_id": "span_id", "flags": "flags", "message_type": "kind"}).require_all()
     out = t(encoded(records.spans(spark, sf_dir), SPAN))
-    return longs(out.select(*[access.get(ENVELOPE, D, n).alias(n) for n in ("span_id", "flags", "message_type")]))
+    return longs(out.select(*[access.get(ENVELOPE, data(), n).alias(n) for n in ("span_id", "flags", "message_type")]))
 
 
 @query("SELECT event_id + 1 AS span_id, CASE WHEN event_id % 5 < 4 THEN (event_id % 5) * 10 END AS message_type, CASE WHEN event_id % 5 < 4 THEN 0 ELSE 1 END::BIGINT AS n_errors FROM events")
@@ -562,7 +566,7 @@ def transcode_validated(spark, sf_dir):
     target = dataclasses.replace(ENVELOPE, checks=[validate.Compare("message_type", "<", 40)])
     t = evolution.Transcoder(SPAN, target, {"span_id": "span_id", "message_type": ("kind", lambda c: c * 10)}, "both")
     out = t(encoded(records.spans(spark, sf_dir), SPAN), out="made")
-    return longs(out.select(access.get(SPAN, D, "span_id").alias("span_id"), access.get(target, F.col("made"), "message_type").alias("message_type"), F.size("errors").alias("n_errors")))
+    return longs(out.select(access.get(SPAN, data(), "span_id").alias("span_id"), access.get(target, F.col("made"), "message_type").alias("message_type"), F.size("errors").alias("n_errors")))
 
 
 # -- evolution ---------------------------------------------------------------------------------------------------------
@@ -588,7 +592,7 @@ def evolve_pad(spark, sf_dir):
 def evolve_default(spark, sf_dir):
     """Decoding, reading one field, and padding the bytes all give the default."""
     codec = _v2(presence="required", default=5)
-    o = _old(spark, sf_dir).withColumn("got", access.get(codec, D, "qty")).withColumn("block", access.header(evolution.padded(codec, D))["block_length"])
+    o = _old(spark, sf_dir).withColumn("got", access.get(codec, data(), "qty")).withColumn("block", access.header(evolution.padded(codec, data()))["block_length"])
     return longs(arrowio.decode(o, codec, keep=["got", "block"], strict=True))
 
 
@@ -624,7 +628,7 @@ def evolve_missing_group(spark, sf_dir):
 @query("SELECT 'version_too_new' AS code, count(*) AS n FROM orders")
 def version_too_new(spark, sf_dir):
     new = _old(spark, sf_dir, _v2())
-    both = arrowio.decode(new, _V1).select("error.code").join(new.select(access.record_error(_V1, D).alias("code")).distinct(), "code")
+    both = arrowio.decode(new, _V1).select("error.code").join(new.select(access.record_error(_V1, data()).alias("code")).distinct(), "code")
     return both.groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -632,7 +636,7 @@ def version_too_new(spark, sf_dir):
 def decode_errors(spark, sf_dir):
     k = F.col("o_orderkey") % 4
     o = _orders(spark, sf_dir)
-    bad = F.when(k == 0, F.concat(F.substring("data", 1, 2), bx.literal(b"\x63\x00"), F.substring("data", 5, 1000))).when(k == 1, F.substring("data", 1, 30)).when(k == 2, F.substring("data", 1, 56)).otherwise(D)
+    bad = F.when(k == 0, F.concat(F.substring("data", 1, 2), bx.literal(b"\x63\x00"), F.substring("data", 5, 1000))).when(k == 1, F.substring("data", 1, 30)).when(k == 2, F.substring("data", 1, 56)).otherwise(data())
     d = arrowio.decode(o.select(bad.alias("data")), ORDER)
     return d.groupBy(F.col("error.code").alias("code")).agg(F.count("*").alias("n"))
 
@@ -661,7 +665,7 @@ def validate_errors(spark, sf_dir):
 def validate_binary(spark, sf_dir):
     """Only checks that can be read from the bytes."""
     t = encoded(_tickets(spark, sf_dir), TICKET, ["id"])
-    return t.select("id", F.array_join(F.transform(validate.validate_binary(_CHECKED, D), lambda e: e["field"]), ",").alias("fields"))
+    return t.select("id", F.array_join(F.transform(validate.validate_binary(_CHECKED, data()), lambda e: e["field"]), ",").alias("fields"))
 
 
 @query(f"SELECT o_orderkey AS id, NOT ({_BAD_SIDE}) AS valid FROM orders")
@@ -683,7 +687,7 @@ def new_binary(spark, sf_dir):
     codec = dataclasses.replace(TICKET, checks=[validate.Compare("price", ">", 10_000_000)])
     t = _tickets(spark, sf_dir).withColumn("k", F.col("id"))
     n = validate.new_binary(codec, t, ["k"])
-    return n.select("k", access.get(codec, D, "id").alias("id"), D.isNotNull().alias("made"))
+    return n.select("k", access.get(codec, data(), "id").alias("id"), data().isNotNull().alias("made"))
 
 
 @query("SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS valid FROM orders")
@@ -707,7 +711,7 @@ def update_fields(spark, sf_dir):
 def content_hash_dedup(spark, sf_dir):
     narrow = Codec("LineKey", LINE.fields[:4], template_id=62)
     d = encoded(records.lines(spark, sf_dir), narrow)
-    return d.select(access.content_hash(D).alias("h")).distinct().agg(F.count("*").alias("n"))
+    return d.select(access.content_hash(data()).alias("h")).distinct().agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('Event', 100::BIGINT, 4::BIGINT, 8::BIGINT), ('OrderCreated', 100, 1, 8), ('Span', 99, 9900, 6)) t(name, schema_id, template_id, n_fields)")
