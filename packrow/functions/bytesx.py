@@ -67,9 +67,9 @@ def double(b: Column, p: Place, endian: str = "little", size: int = 8) -> Column
     return F.when(exponent == last, special).otherwise(value).cast("double" if size == 8 else "float")
 
 
-def number(value: Column, n: int, endian: str = "little") -> Column:
-    """The bytes of an integer, two's complement; decimal values up to 2^64 - 1 are written as they are."""
-    wide = F.conv(value.cast("string"), 10, 16) if n == 8 else F.hex(value.cast("bigint"))
+def number(value: Column, n: int, endian: str = "little", wide: bool = False) -> Column:
+    """The bytes of an integer, two's complement; ``wide`` takes decimals up to 2^64 - 1."""
+    wide = F.conv(value.cast("string"), 10, 16) if wide else F.hex(value.cast("bigint"))
     digits = F.right(F.concat(F.lit("0" * 16), wide), F.lit(2 * n))
     if endian == "little" and n > 1:
         digits = F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n))])
@@ -77,11 +77,11 @@ def number(value: Column, n: int, endian: str = "little") -> Column:
 
 
 def double_bytes(value: Column, endian: str = "little", size: int = 8) -> Column:
-    if size == 8:
-        bits = F.call_function("java_method", F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value.cast("double")).cast("bigint")
-        return number(bits, 8, endian)
-    bits = F.call_function("java_method", F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), value.cast("float")).cast("int")
-    return number(bits, 4, endian)
+    """The bytes of an IEEE number; null gives null."""
+    cls, method, kind, whole = ("Double", "doubleToRawLongBits", "double", "bigint") if size == 8 else ("Float", "floatToRawIntBits", "float", "int")
+    given = F.coalesce(value, F.lit(0.0)).cast(kind)  # reflection can't take nulls
+    bits = F.call_function("java_method", F.lit(f"java.lang.{cls}"), F.lit(method), given).cast(whole)
+    return F.when(value.isNotNull(), number(bits, size, endian))
 
 
 def let(value: Column, body) -> Column:

@@ -118,8 +118,9 @@ class Int(WireType):
         return F.when(value != F.lit(decimal.Decimal(self.sentinel) if self.name == "u64" else self.sentinel), value.cast(self.spark))
 
     def write(self, value, endian="little"):
-        typed = value.cast(bx.U64 if self.name == "u64" else "bigint")
-        return bx.number(F.coalesce(typed, F.lit(decimal.Decimal(self.sentinel)).cast(bx.U64) if self.name == "u64" else F.lit(self.sentinel)), self.size, endian)
+        big = self.name == "u64"
+        typed = value.cast(bx.U64 if big else "bigint")
+        return F.coalesce(bx.number(typed, self.size, endian, big), bx.literal(self.null(endian)))
 
     def check(self, value):
         wide = value.cast("decimal(38,0)")
@@ -516,7 +517,7 @@ class Bitset(WireType):
 
     def write(self, value, endian="little"):
         number = bx.summed([F.when(F.array_contains(value, k), F.lit(1 << bit)).otherwise(F.lit(0)).cast(bx.U64) for k, bit in self.flags.items()])
-        return bx.number(F.coalesce(number, F.lit(0).cast(bx.U64)), self.size, endian)
+        return bx.number(F.coalesce(number, F.lit(0).cast(bx.U64)), self.size, endian, True)
 
     def check(self, value):
         return F.size(F.array_except(value, F.array(*map(F.lit, self.flags)))) == 0
