@@ -31,8 +31,10 @@ _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x
 
 
 def _mix(x: np.ndarray, k: int) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _A[k]
-    return x ^ (x >> np.uint64(29))
+    """A finaliser that is far from linear, so that sums of digests don't look like one digest."""
+    x = (x ^ (x >> np.uint64(33))) * _A[k]
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def digests(text: str | None) -> np.ndarray:

@@ -29,7 +29,7 @@ _REPEAT = b"\x00same"
 def _tokens(text: str | None) -> list[bytes]:
     """Words of the text; one that repeats its predecessor becomes a mark of its own."""
     words = (text or "").encode().split()
-    return [_REPEAT if a == b else a for a, b in zip(words, [b"", *words[:-1]], strict=True)]
+    return [_REPEAT if a == b else a for a, b in zip(words, [b"", *words], strict=False)]
 
 
 def _bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
