@@ -128,31 +128,31 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def classes(prints: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(fp, component_id) for every fingerprint of the table (doc_id, fp)."""
+    """(fp, head, component_id) for every fingerprint of the table (doc_id, fp); head is the class's smallest fingerprint."""
     spark = prints.sparkSession
     distinct = common.written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     nodes = graph.components(links(distinct.select("fp"), dense)).withColumnsRenamed({"node": "fp", "component": "head"})
     labelled = distinct.join(nodes, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
     heads = labelled.groupBy("head").agg(F.min("least").alias("component_id"))
-    return labelled.join(heads, "head").select("fp", "component_id")
+    return labelled.join(heads, "head").select("fp", "head", "component_id")
 
 
 def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate component: the smallest doc_id.
 
-    Of repeated rows with that id the one with the smallest text, then source, stays. All columns of
-    ``docs`` are kept; fingerprints are computed on whole texts.
+    Of several texts under that id the one with the smallest hash stays, and of equal rows one. A component
+    without any id keeps one of its rows. All columns of ``docs`` are kept; fingerprints are computed on whole texts,
+    and only ids and hashes of texts are shuffled before the survivors are known.
     """
     spark = docs.sparkSession
-    prints = common.written(spark, with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"), "simhash")
-    found = classes(prints, dense)
-    #: A component is known by its smallest id; one with no id at all by its fingerprints.
-    kept = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("fp")).distinct()
-    named = kept.where("doc_id is not null").select("doc_id")
-    rows = docs.join(named, "doc_id", "left_semi").select(*docs.columns)
-    nameless = kept.where("doc_id is null").select("fp")
-    lost = with_fingerprint(docs.where("doc_id is null"), out="_fp").join(nameless.withColumnRenamed("fp", "_fp"), "_fp", "left_semi").select(*docs.columns)
-    repeats = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    one = rows.join(repeats, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    one = one.select("doc_id", "r.*").select(*docs.columns)
-    return rows.join(repeats, "doc_id", "left_anti").select(*docs.columns).union(one).union(lost.dropDuplicates(["text"]))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    prints = common.written(spark, with_fingerprint(hashed).select("doc_id", "row", "fp"), "simhash")
+    heads = prints.join(classes(prints, dense), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = heads.groupBy("head").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.*")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.xxhash64(f"{a}.text") == F.col(f"{b}.row"))
+    rows = docs.alias("d").join(chosen.alias("c"), same("d", "c"), "left_semi").select("d.*")
+    twice = prints.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1")
+    single = rows.alias("s").join(twice.alias("t"), same("s", "t"), "left_anti").select("s.*")
+    repeated = rows.alias("s").join(twice.alias("t"), same("s", "t"), "left_semi").select("s.*")
+    one = repeated.groupBy("doc_id", F.xxhash64("text").alias("_row")).agg(F.min(F.struct(*docs.columns)).alias("_one")).select("_one.*")
+    return single.union(one)
