@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from packrow.llm import common
 
 END_ID, BLOCK_TOKENS = 2, 1 << 16
-_CACHE_WORDS, _CACHE_CHARS = 500_000, 64
+_CACHE_WORDS, _CACHE_CHARS = 1_000_000, 64
+_STOPS = ".,"
 _TWO_BLANKS, _CUTS = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
 _BLOCKS = "file int, block int, at long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
@@ -45,6 +47,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         (line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.stops = dict(zip(_STOPS, self._encode(list(_STOPS)), strict=True))
         self.skip = len(np.array([line_end], np.uint32).tobytes())
 
     def _words(self, text: str) -> list[str]:
@@ -66,17 +69,19 @@ class Encoder:
         if len(known) > _CACHE_WORDS:
             known.clear()
         odd = [bool(_TWO_BLANKS.search(x)) for x in texts]
-        lists = [["" if not x else x] if o else self._words(x) for x, o in zip(texts, odd, strict=True)]
-        new = list({w for ws, o in zip(lists, odd, strict=True) if not o for w in ws if w not in known})
-        fresh = dict(zip(new, self._encode([w if w[:1] == "\n" else " " + w for w in new]), strict=True))
+        lists = [[] if o else self._words(x) for x, o in zip(texts, odd, strict=True)]
+        new = set().union(*lists).difference(known)
+        # A stop or comma behind a letter or digit is cut off too, so that most such words are known ones.
+        ended = [w for w in new if w[-1:] in _STOPS and w[-2:-1].isalnum()]
+        bases = list(new.difference(ended).union(w[:-1] for w in ended).difference(known))
+        known.update(zip(bases, self._encode([w if w[:1] == "\n" else " " + w for w in bases]), strict=True))
+        known.update((w, known[w[:-1]] + self.stops[w[-1]]) for w in ended)
         out = []
-        for words, o in zip(lists, odd, strict=True):
-            if o:
-                raw = b"".join(self._encode(_CUTS.split(words[0])))
-            else:
-                raw = b"".join([known[w] if w in known else fresh[w] for w in words])[self.skip :]
+        for text, words, o in zip(texts, lists, odd, strict=True):
+            raw = b"".join(self._encode(_CUTS.split(text))) if o else b"".join(map(known.__getitem__, words))[self.skip :]
             out.append(np.frombuffer(raw, np.uint32))
-        known.update((w, x) for w, x in fresh.items() if len(w) <= _CACHE_CHARS)
+        for w in {w for w in new.union(bases) if len(w) > _CACHE_CHARS}:
+            del known[w]
         return out
 
 
@@ -117,22 +122,46 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ranks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
+def _squeezed(ids: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Ids by byte planes, compressed: lowest bytes first, then the next ones as far as any is set."""
+    wide = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
+    planes = 4 - int(np.argmax(wide[:, ::-1].any(axis=0))) if len(ids) and wide.any() else 1
+    return bytes([planes]) + squeeze.compress(np.ascontiguousarray(wide[:, :planes].T).tobytes())
+
+
+def _expanded(blob: bytes, n: int, expand: zstandard.ZstdDecompressor) -> np.ndarray:
+    out = np.zeros((n, 4), np.uint8)
+    out[:, : blob[0]] = np.frombuffer(expand.decompress(blob[1:]), np.uint8).reshape(blob[0], n).T
+    return out.view("<u4").ravel()
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, n, blob) of every document, its end id included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
+        for part, texts in common.text_slices(batches):
+            made = [np.append(x, np.uint32(end_id)) for x in enc.encode(texts)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in made], pa.int32()), pa.array([_squeezed(x, squeeze) for x in made], pa.binary())], names=["doc_id", "n", "blob"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, blob binary")
+
+
+def ranks(tokens: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
     """All ids of the vocabulary, commonest first by their count over all documents; ties by id."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, enc = np.zeros(0, np.int64), encoder(tokenizer)
-        for _, texts in common.text_slices(batches):
-            ids = np.concatenate([*enc.encode(texts), np.full(len(texts), end_id, np.uint32)])
-            found = np.bincount(ids)
-            if len(found) < len(total):
-                found, total = total, found
-            found[: len(total)] += total
-            total = found
+        total, expand = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.bincount(_expanded(blob, n, expand))
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+                total[: len(found)] += found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    found = docs.select("text").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    found = tokens.select("n", "blob").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     used = found["id"].to_numpy(np.int64)
     from tokenizers import Tokenizer
 
@@ -143,40 +172,41 @@ def ranks(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, files: int | None = None) -> None:
     """Encode all ``docs`` (doc_id, text) into the store at ``path``; ``end_id`` closes each document.
 
-    A null text is empty and has the end id alone. Rows of one doc_id follow each other by text, null ids come
-    first. The texts are tokenized twice, for the counts and for the files, and shuffled once.
+    A null text is empty and has the end id alone. Rows of one doc_id follow each other by their ids' number and
+    bytes, null doc_ids come first. The texts are tokenized once; what is counted and shuffled are compressed ids.
     """
     spark = docs.sparkSession
-    order = ranks(docs, tokenizer, end_id)
+    tokens = common.written(spark, tokenized(docs, tokenizer, end_id), "token-ids")
+    order = ranks(tokens, tokenizer, end_id)
     rank_of = np.empty(len(order), np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, file, block, at = encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        expand, file, block, at = zstandard.ZstdDecompressor(), TaskContext.get().partitionId(), 0, 0
         ids: list = []
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            control, data = pack(np.concatenate(held))
+            control, data = pack(rank_of[np.concatenate(held)])
             row = {"file": file, "block": block, "at": at, "doc_ids": ids, "lengths": [len(x) for x in held], "control": control, "data": data}
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for part, texts in common.text_slices(batches, rows=64):
-            for i, x in zip(part.column(0).to_pylist(), enc.encode(texts), strict=True):
+        for batch in batches:
+            for i, n, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 ids.append(i)
-                held.append(np.append(rank_of[x], rank_of[end_id]))
-                size += len(x) + 1
+                held.append(_expanded(blob, n, expand))
+                size += n
                 if size >= BLOCK_TOKENS:
                     yield flush()
                     block, at, ids, held, size = block + 1, at + size, [], [], 0
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(files or common.partitions(spark), F.col("doc_id").asc_nulls_first())
-    rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()).mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
+    rows = tokens.repartitionByRange(files or common.partitions(spark), F.col("doc_id").asc_nulls_first())
+    rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "blob").mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
