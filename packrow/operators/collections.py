@@ -7,6 +7,7 @@ arrays are plain arrays of structs: map, reduce and filter are Spark's own highe
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -217,3 +218,33 @@ def batch_key(batch: Batch, **fields: str) -> Callable[[Column], Column]:
     if missing := [c.name for c in batch.any_of if c.name not in fields]:
         raise WireError("uncovered_types", ", ".join(missing))
     return lambda e: F.coalesce(*[e[c.name][fields[c.name]] for c in batch.any_of])
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """A named lookup of a codec: entries of a group or batch as a map by key (last write wins) or as a list, filtered by equality."""
+
+    source: str
+    into: str = "map"
+    key: str | Callable[[Column], Column] | None = None
+    where: tuple[tuple[str, object], ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.into not in ("map", "list") or (self.into == "map") != (self.key is not None):
+            raise WireError("unknown_option", f"{self.into} with key {self.key}")
+
+
+def lookup(codec: Codec, df: DataFrame, name: str, column: str = "data", keep: list[str] | None = None) -> DataFrame:
+    """A lookup the codec declares, over encoded records: (keep, key, entry) for maps, (keep, entries) for lists.
+
+    Only the group it names is decoded.
+    """
+    from packrow.sources import arrowio
+
+    if name not in codec.lookups:
+        raise WireError("unknown_lookup", f"{codec.name} has no lookup {name}")
+    found, keep = codec.lookups[name], list(keep or [])
+    rows = arrowio.decode(df, codec, column, keep, [found.source], strict=True)
+    if found.into == "list":
+        return rows.select(*keep, lookup_list(F.col(found.source), **dict(found.where)).alias("entries"))
+    return lookup_map(rows, found.source, keep, found.key, **dict(found.where))

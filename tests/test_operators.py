@@ -115,6 +115,18 @@ def test_lookup_keeps_null_keys(spark):
         collections.batch_key(records.box("padded_union").batches[0], Click="user_id")
 
 
+def test_declared_lookups(spark):
+    codec = Codec("Account", [Field("id", "u64")], template_id=5, groups=[Group("holds", (Field("hold", "u32"), Field("active", "bool")))], lookups={
+        "by_hold": collections.Lookup("holds", key="hold"), "active": collections.Lookup("holds", "list", where=(("active", True),)),
+    })
+    rows = spark.createDataFrame([(1, [(7, True), (8, False), (7, False), (9, True)])], "id long, holds array<struct<hold:long,active:boolean>>")
+    d = arrowio.encode(rows, codec, keep=["id"])
+    assert {r.key: r.entry.active for r in collections.lookup(codec, d, "by_hold", keep=["id"]).collect()} == {7: False, 8: False, 9: True}
+    assert [e.hold for e in collections.lookup(codec, d, "active").first().entries] == [7, 9]
+    with pytest.raises(WireError, match="unknown_lookup"):
+        collections.lookup(codec, d, "none")
+
+
 def test_transcoder_errors():
     with pytest.raises(WireError, match="unknown_field"):
         evolution.Transcoder(records.SPAN, records.ENVELOPE, {"nope": "kind"})
