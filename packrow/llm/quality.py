@@ -60,7 +60,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     for epoch in range(epochs):
         rate = np.float32(RATE * (1 - epoch / epochs) + 0.02)
         for i in rng.permutation(used):
-            ids, shares = bags[i]
+            ids, shares = bags[i][0], bags[i][1].astype(np.float32)
             doc = shares @ vectors[ids]
             z = out @ doc + bias
             p = np.exp(z - z.max())
@@ -115,12 +115,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.text_slices(batches):
             made = [_bag(x) for x in texts]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["doc_id", "quality", "ids", "shares"])
-
-    rows = pairs.mapInArrow(bags, "doc_id long, quality int, ids binary, shares binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["ids"]))
-    made = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
-    return train(made, np.array([r["quality"] for r in rows], np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x, _ in made], pa.binary()), pa.array([x.astype(np.float16).tobytes() for _, x in made], pa.binary())], names=["doc_id", "quality", "ids", "shares"])
+
+    found = pairs.mapInArrow(bags, "doc_id long, quality int, ids binary, shares binary").toArrow().combine_chunks()
+    order = np.lexsort((found["quality"].to_numpy(), found["doc_id"].to_numpy()))
+    ids, shares = _views(found["ids"], np.uint16), _views(found["shares"], np.float16)
+    return train([(ids[i], shares[i]) for i in order.tolist()], found["quality"].to_numpy().astype(np.int64)[order])
+
+
+def _views(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    """The values of a binary column as arrays over its one buffer, so that nothing is copied."""
+    if not len(column):
+        return []
+    (chunk,) = column.chunks
+    ends = np.frombuffer(chunk.buffers()[1], np.int32, len(chunk) + 1, 4 * chunk.offset) // np.dtype(kind).itemsize
+    flat = np.frombuffer(chunk.buffers()[2], kind, ends[-1]) if ends[-1] else np.zeros(0, kind)
+    return [flat[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
