@@ -33,6 +33,7 @@ MAX_WORD = 64
 #: Shuffle partitions that share a block of documents, and pairs that a task combines at a time.
 PER_BLOCK, _HELD = 4, 1_500_000
 _KEY, _ID = 1 << 20, 1 << 24
+_MARKS = ".,|!*$%&#?;:"
 
 
 class Model:
@@ -54,6 +55,11 @@ class Model:
             raise ValueError(f"pieces that cross words aren't supported: {bad[:3]}")
         self.worst = min(s for _, _, s in self.pieces)
         self.inner = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1)}
+        # Where a letter or digit stands before one of these marks, no piece crosses.
+        marks = "".join(c for c in _MARKS if not any(b[1] == c and b[0].isalnum() for b in self.inner if b[0].isascii()))
+        unsafe = "".join(sorted({b[0] for b in self.inner if b[1] in marks and b[0].isalnum()}))
+        word, mark, end = f"[^\\W_{re.escape(unsafe)}]", f"[{re.escape(marks)}]", f"(?=[{SPACE}\n]|$)"
+        self.cuts = re.compile(f"{SPACE}*{word}++(?={mark}+{end})|{mark}++{end}|{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
         by_byte = {i: bytes([b]) for b, i in self.bytes.items()}
         self.raw = [by_byte.get(i) or ("" if sp.is_control(i) else sp.id_to_piece(i).replace(SPACE, " ") if not sp.is_unknown(i) else " ⁇ ").encode() for i in ids]
 
@@ -61,7 +67,7 @@ class Model:
         """The text cut where no piece crosses; joined they are the text with a blank before it, blanks marked."""
         if not text:
             return []
-        found = _WORDS.findall(SPACE + text.replace(" ", SPACE))
+        found = self.cuts.findall(SPACE + text.replace(" ", SPACE))
         return found if max(map(len, found)) <= MAX_WORD else [part for w in found for part in (self._cut(w) if len(w) > MAX_WORD else (w,))]
 
     def _cut(self, word: str) -> list[str]:
@@ -126,8 +132,6 @@ class Model:
         return b"".join([raw[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-
 
 @cache
 def model(path: str) -> Model:
@@ -136,21 +140,25 @@ def model(path: str) -> Model:
 
 
 def edges(words: DataFrame, m: Model) -> DataFrame:
-    """``words`` (word, ...) with ``lattice``: a map from start * KEY + end to (order of score * ID + id), or null without edges.
+    """(word, lattice, ...) of different words: a map from start * KEY + end to what stands there.
 
-    The substrings of a word are exploded, joined with the pieces and grouped by word. With the
-    words partitioned by word nothing is shuffled.
+    That is order of score * ID + id; for a unigram model a struct of it and the score. The substrings of a word
+    are exploded, joined with the pieces and grouped by word; only those that are pieces get as far as that. With
+    the words partitioned by word nothing is shuffled. The empty substring, which is no edge, keeps words
+    without any and carries the word's other columns.
     """
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, _, s in m.pieces}, reverse=True))}
-    table = spark.createDataFrame([(p, order[s] * _ID + i, s) for p, i, s in m.pieces], "piece string, value long, score double")
-    spans = words.withColumn("s", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
-    spans = spans.withColumn("l", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), F.length("word") - F.col("s")))))
-    spans = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l")))
-    found = spans.join(F.broadcast(table), "piece", "left")
-    edge = F.when(F.col("value").isNotNull(), F.struct((F.col("s") * _KEY + F.col("s") + F.col("l")).cast("long").alias("k"), F.struct("value", "score").alias("v")))
+    rows = [("", -1, 0.0), *((p, order[s] * _ID + i, s) for p, i, s in m.pieces)]
+    table = spark.createDataFrame(rows, "piece string, value long, score double")
     rest = [c for c in words.columns if c != "word"]
-    return found.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("lattice"), *[F.any_value(c).alias(c) for c in rest])
+    spans = words.select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
+    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(m.longest), F.length("word") - F.col("s")))))
+    once = [F.when(F.col("l") == 0, F.col(c)).alias(c) for c in rest]
+    found = spans.select("word", "s", "l", *once, F.substring("word", F.col("s") + 1, F.col("l")).alias("piece")).join(F.broadcast(table), "piece")
+    value = F.col("value") if m.merges else F.struct("value", "score")
+    edge = F.struct((F.col("s") * _KEY + F.col("s") + F.col("l")).cast("long").alias("k"), value.alias("v"))
+    return found.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("lattice"), *[F.max(c).alias(c) for c in rest])
 
 
 def _at(lattice: Column, a: Column, b: Column) -> Column:
@@ -162,7 +170,7 @@ def merge_fold(word: Column, lattice: Column) -> Column:
     none = (1 << 62) + 0
 
     def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda i: F.struct(F.coalesce(_at(lattice, F.get(b, i - 1), F.get(b, i + 1))["value"], F.lit(none)).alias("v"), i.alias("i")))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda i: F.struct(F.coalesce(_at(lattice, F.get(b, i - 1), F.get(b, i + 1)), F.lit(none)).alias("v"), i.alias("i")))
         return F.when(F.size(b) <= 2, b).otherwise(F.element_at(F.transform(F.array(F.array_min(pairs)), lambda x: F.when(x["v"] == none, b).otherwise(F.concat(F.slice(b, F.lit(1), x["i"]), F.slice(b, x["i"] + 2, F.size(b))))), 1))
 
     start = F.sequence(F.lit(0), F.length(word))
@@ -198,19 +206,19 @@ def _ids(word: Column, lattice: Column, bounds: Column, m: Model) -> Column:
         spare = lambda c: F.array(F.lit(m.unknown))
 
     def piece(i: Column) -> Column:
-        hit = _at(lattice, F.get(bounds, i), F.get(bounds, i + 1))["value"]
+        hit = _at(lattice, F.get(bounds, i), F.get(bounds, i + 1))
+        hit = hit if m.merges else hit["value"]
         return F.when(hit.isNotNull(), F.array((hit % _ID).cast("int"))).otherwise(spare(F.substring(word, F.get(bounds, i) + 1, F.lit(1))))
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), piece))
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``words`` (word, ...; different, not empty, at most MAX_WORD characters) with their ``ids``."""
+    """(word, ids, ...) of different, not empty words of at most MAX_WORD characters."""
     m = model(path)
-    found = edges(words, m).withColumn("lattice", F.coalesce("lattice", F.create_map().cast("map<bigint,struct<value:bigint,score:double>>")))
     word, lattice = F.col("word"), F.col("lattice")
     bounds = merge_fold(word, lattice) if m.merges else viterbi_fold(word, lattice, m.longest, m.worst - 10)
-    return found.withColumn("bounds", bounds).select("word", _ids(word, lattice, F.col("bounds"), m).alias("ids"), *[c for c in words.columns if c != "word"])
+    return edges(words, m).withColumn("bounds", bounds).select("word", _ids(word, lattice, F.col("bounds"), m).alias("ids"), *[c for c in words.columns if c != "word"])
 
 
 def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
@@ -244,7 +252,7 @@ def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    words = narrow.mapInArrow(pairs, "word string, block int").groupBy("word").agg(F.collect_set("block").alias("blocks"))
+    words = narrow.mapInArrow(pairs, "word string, block int").repartition(common.partitions(spark), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
     known = encode_words(words, path).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "word", "ids", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("long").alias("doc_id"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
