@@ -165,16 +165,34 @@ def _at(lattice: Column, a: Column, b: Column) -> Column:
     return F.element_at(lattice, (a.cast("long") * _KEY + b))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def merge_fold(word: Column, lattice: Column) -> Column:
-    """Bounds of the pieces of a word by BPE merges: always the best piece over two neighbours, the first of equal ones."""
-    none = (1 << 62) + 0
+    """Bounds of the pieces of a word by BPE merges: always the best piece over two neighbours, the first of equal ones.
+
+    The fold's state is the bounds b and, for each inner bound, what stands over its two symbols (v); a merge takes a
+    bound away and looks up only what changed on its two sides.
+    """
+    none = 1 << 62
+    over = lambda a, b: F.coalesce(_at(lattice, a, b), F.lit(none))
+    empty = F.array().cast("array<bigint>")
+
+    def merged(st: Column, p: Column) -> Column:
+        b, v = st["b"], st["v"]
+        left = F.when(p > 1, F.array(over(F.get(b, p - 2), F.get(b, p + 1)))).otherwise(empty)
+        right = F.when(p < F.size(v), F.array(over(F.get(b, p - 1), F.get(b, p + 2)))).otherwise(empty)
+        bounds = F.concat(F.slice(b, F.lit(1), p), F.slice(b, p + 2, F.size(b)))
+        return F.struct(bounds.alias("b"), F.concat(F.slice(v, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(v, p + 2, F.size(v))).alias("v"))
 
-    def step(b: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(b) - 2), lambda i: F.struct(F.coalesce(_at(lattice, F.get(b, i - 1), F.get(b, i + 1)), F.lit(none)).alias("v"), i.alias("i")))
-        return F.when(F.size(b) <= 2, b).otherwise(F.element_at(F.transform(F.array(F.array_min(pairs)), lambda x: F.when(x["v"] == none, b).otherwise(F.concat(F.slice(b, F.lit(1), x["i"]), F.slice(b, x["i"] + 2, F.size(b))))), 1))
+    def step(st: Column, _: Column) -> Column:
+        return _let(F.array_min(st["v"]), lambda best: F.when(best.isNull() | (best == none), st).otherwise(_let(F.array_position(st["v"], best).cast("int"), lambda p: merged(st, p))))
 
-    start = F.sequence(F.lit(0), F.length(word))
-    return F.when(F.length(word) < 2, start).otherwise(F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step))
+    n = F.length(word)
+    first = F.struct(F.sequence(F.lit(0), n).alias("b"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: over(i - 1, i + 1)).alias("v"))
+    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(2), n), first, step)["b"])
 
 
 def viterbi_fold(word: Column, lattice: Column, longest: int, unknown: float) -> Column:
@@ -261,8 +279,11 @@ def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
             no = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(block_of(part.column(0))), pa.array(np.ones(no, np.int32)), pa.nulls(no, pa.string()), pa.nulls(no, pa.list_(pa.int32())), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary()), part.column(0).cast(pa.int64())], names=["block", "kind", "word", "ids", "blob", "doc_id"])
 
+    # Keys that hash to a partition each, so that no two blocks share one.
+    spread = spark.range(64 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).groupBy("to").agg(F.min("id").cast("int").alias("key"))
+    keys = F.array(*[F.lit(r.key) for r in spread.orderBy("to").collect()])
     schema = "block int, kind int, word string, ids array<int>, blob binary, doc_id long"
-    rows = known.union(narrow.mapInArrow(packed, schema)).repartition(n, "block").sortWithinPartitions("block", "kind")
+    rows = known.union(narrow.mapInArrow(packed, schema)).withColumn("deal", F.get(keys, F.col("block"))).repartition(n, "deal").drop("deal").sortWithinPartitions("block", "kind")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
