@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ END_ID, BLOCK_TOKENS = 2, 1 << 16
 _CACHE_WORDS, _CACHE_CHARS = 1_000_000, 64
 _STOPS = ".,"
 _TWO_BLANKS, _CUTS = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
+#: White space besides the blank and the line end; few texts have any.
+_OTHER_BLANKS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 _BLOCKS = "file int, block int, at long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
@@ -61,14 +65,14 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the whole of it."""
         known = self.known
         if len(known) > _CACHE_WORDS:
             known.clear()
-        odd = [bool(_TWO_BLANKS.search(x)) for x in texts]
+        odd = [("  " in x or "\n\n" in x or "\n " in x or " \n" in x or any(c in x for c in _OTHER_BLANKS)) and bool(_TWO_BLANKS.search(x)) for x in texts]
         lists = [[] if o else self._words(x) for x, o in zip(texts, odd, strict=True)]
         new = set().union(*lists).difference(known)
         # A stop or comma behind a letter or digit is cut off too, so that most such words are known ones.
