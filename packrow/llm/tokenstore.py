@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from packrow.llm import common
 
 END_ID, BLOCK_TOKENS = 2, 1 << 16
-_CACHE_WORDS, _CACHE_CHARS = 1_000_000, 64
-_STOPS = ".,"
+_CACHE_WORDS, _CACHE_CHARS, _CACHE_STOPS = 1_000_000, 64, 10_000
+_STOPS = ".,!?;:|*$%&#)"
 _TWO_BLANKS, _CUTS = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
 #: White space besides the blank and the line end; few texts have any.
 _OTHER_BLANKS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
@@ -51,7 +51,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         (line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.stops = dict(zip(_STOPS, self._encode(list(_STOPS)), strict=True))
+        self.stops: dict[str, bytes] = {}
         self.skip = len(np.array([line_end], np.uint32).tobytes())
 
     def _words(self, text: str) -> list[str]:
@@ -75,11 +75,15 @@ class Encoder:
         odd = [("  " in x or "\n\n" in x or "\n " in x or " \n" in x or any(c in x for c in _OTHER_BLANKS)) and bool(_TWO_BLANKS.search(x)) for x in texts]
         lists = [[] if o else self._words(x) for x, o in zip(texts, odd, strict=True)]
         new = set().union(*lists).difference(known)
-        # A stop or comma behind a letter or digit is cut off too, so that most such words are known ones.
-        ended = [w for w in new if w[-1:] in _STOPS and w[-2:-1].isalnum()]
-        bases = list(new.difference(ended).union(w[:-1] for w in ended).difference(known))
+        # Marks behind a letter or digit are cut off too, so that most such words are known ones.
+        ended = {w: b for w in new if w[-1:] in _STOPS and (b := w.rstrip(_STOPS))[-1:].isalnum() and "<|" not in w}
+        bases = list(new.difference(ended).union(ended.values()).difference(known))
         known.update(zip(bases, self._encode([w if w[:1] == "\n" else " " + w for w in bases]), strict=True))
-        known.update((w, known[w[:-1]] + self.stops[w[-1]]) for w in ended)
+        runs = {w[len(b) :] for w, b in ended.items()}.difference(self.stops)
+        self.stops.update(zip(runs, self._encode(list(runs)), strict=True))
+        known.update((w, known[b] + self.stops[w[len(b) :]]) for w, b in ended.items())
+        if len(self.stops) > _CACHE_STOPS:
+            self.stops.clear()
         out = []
         for text, words, o in zip(texts, lists, odd, strict=True):
             raw = b"".join(self._encode(_CUTS.split(text))) if o else b"".join(map(known.__getitem__, words))[self.skip :]
