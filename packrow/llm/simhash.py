@@ -127,11 +127,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def classes(prints: DataFrame, dense: int = DENSE) -> DataFrame:
-    """(fp, head, component_id) for every fingerprint of the table (doc_id, fp); head is the class's smallest fingerprint."""
+def classes(prints: DataFrame, dense: int = DENSE, edges: DataFrame | None = None) -> DataFrame:
+    """(fp, head, component_id) for every fingerprint of the table (doc_id, fp); head is the class's smallest fingerprint.
+
+    Without ``edges`` classes are those of fingerprints within two bits.
+    """
     spark = prints.sparkSession
     distinct = common.written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    nodes = graph.components(links(distinct.select("fp"), dense)).withColumnsRenamed({"node": "fp", "component": "head"})
+    nodes = graph.components(links(distinct.select("fp"), dense) if edges is None else edges).withColumnsRenamed({"node": "fp", "component": "head"})
     labelled = distinct.join(nodes, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
     heads = labelled.groupBy("head").agg(F.min("least").alias("component_id"))
     return labelled.join(heads, "head").select("fp", "head", "component_id")
@@ -147,7 +150,12 @@ def keep_one(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     spark = docs.sparkSession
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
     prints = common.written(spark, with_fingerprint(hashed).select("doc_id", "row", "fp"), "simhash")
-    heads = prints.join(classes(prints, dense), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return survivors(docs, prints, classes(prints, dense))
+
+
+def survivors(docs: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`keep_one` keeps, from (doc_id, row, fp) of its rows and the classes of their fps."""
+    heads = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = heads.groupBy("head").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("r.*")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.xxhash64(f"{a}.text") == F.col(f"{b}.row"))
     rows = docs.alias("d").join(chosen.alias("c"), same("d", "c"), "left_semi").select("d.*")
