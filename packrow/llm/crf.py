@@ -24,6 +24,7 @@ SAMPLE, EPOCHS, RATE, SEED = 3000, 4, 0.1, 5
 _SPACE, _SYMBOL, _TAIL, _UPPER, _DIGIT, _MARK = 1, 2, 4, 8, 16, 32
 #: What pages repeat around their text, as fixed values of a feature.
 STOCK = (b"all rights reserved", b"cookie", b"copyright", b"licensed under", b"log in", b"privacy policy", b"sign up", b"subscribe", b"terms of use")
+STOCK_WORDS = 40
 
 
 def _classes() -> np.ndarray:
@@ -79,6 +80,12 @@ def _repeats(ids: np.ndarray) -> int:
     return int(marked.sum())
 
 
+def _stock(line: bytes, n_words: int) -> float:
+    """Stock phrases of a line of any length: 1 if there is one for every STOCK_WORDS words, less in proportion if there are fewer."""
+    low = line.lower()
+    return min(1.0, STOCK_WORDS * sum(low.count(s) for s in STOCK) / max(n_words, 1))
+
+
 def read(text: str | None) -> Lines:
     """All figures of one text; a null text is empty and has one empty line."""
     raw = (text or "").encode()
@@ -118,7 +125,7 @@ def read(text: str | None) -> Lines:
         _steps(count(kind == _UPPER) / chars, _EDGES),
         _steps(count((kind == _MARK) | (kind == _DIGIT)) / chars, _EDGES),
         _steps(repeated / np.maximum(per_line, 1), _EDGES),
-        np.array([[x[-1:] in (b".", b"!", b"?"), x[-2:] == b"!!", x[-1:] == b"|", d, any(s in x.lower() for s in STOCK) if len(x) < 400 else 0] for x, d in zip(tails, dup, strict=True)], float),
+        np.array([[x[-1:] in (b".", b"!", b"?"), x[-2:] == b"!!", x[-1:] == b"|", d, _stock(x, n)] for x, d, n in zip(tails, dup, per_line.tolist(), strict=True)], float),
     ])
     return Lines(len(words), int((~space & (kind != _TAIL)).sum()), int((kind == _SYMBOL).sum()), int(dup.sum()), _repeats(ids), per_line, features)
 
