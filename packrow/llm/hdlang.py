@@ -26,9 +26,9 @@ _SPACE = 0x20
 
 
 def _is_letter() -> np.ndarray:
-    """For each code point of the basic planes, its lower-case letter or 0."""
-    table = np.zeros(0x20000, np.int64)
-    for code in range(0x20000):
+    """For each code point, its lower-case letter or 0."""
+    table = np.zeros(0x110000, np.int64)
+    for code in range(0x110000):
         if (c := chr(code)).isalpha():
             low = c.lower()
             table[code] = ord(low) if len(low) == 1 else code
@@ -68,7 +68,7 @@ class Space:
     def grams(self, text: str) -> np.ndarray:
         """The keys of all n-grams of letters; other characters end a word and stand as one blank around it."""
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        low = self.fold[np.minimum(codes, 0x1FFFF)]
+        low = self.fold[codes]
         if not low.any():
             return np.zeros(0, np.int64)
         low = np.concatenate([[0], low, [0]])
