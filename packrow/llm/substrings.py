@@ -4,10 +4,11 @@
    (see :mod:`windows`) the hash, the hash of the context in which it stands (all words of the windows that
    share it), the block of documents and the smallest doc_id. Runs are immutable bucketed Parquet
    tables, sorted by hash; equal buckets of two runs merge-join without a shuffle. ``Index.compact``
-   merges runs; a query's few runs needn't be.
+   merges runs; a query never calls it, because its two runs are joined once and then not used again.
+   There is no entry that deduplicates a later batch against an index that was kept.
 2. Joining the runs tells which anchors occur twice, in which blocks, and for each context the document
    that has it first. Every block of documents gets its own hits. Windows of a context that an
-   earlier document (or an earlier place) holds whole are marked there, word for word by context hash.
+   earlier document (or an earlier place) holds whole are marked there, where the 64-bit context hashes are equal.
 3. Where an anchor has several contexts, the windows of each context's first occurrence are compared
    one by one in the same way, and only documents with such windows are read again.
 
