@@ -4,11 +4,12 @@
 2. Each word is exploded into its substrings of at most the longest piece's length, these are
    equi-joined with the piece table (broadcast: a vocabulary is bounded), and the edges found are
    grouped by word.
-3. A fold over the word's edges with Spark's higher-order ``aggregate`` chooses the path. For a unigram
-   model it is Viterbi: the best score to reach each place. A BPE model defines another path than
-   the best sum, so there the fold applies its merges to the same lattice: again and again the edge of the
-   best piece that spans two neighbouring symbols. Both give what the model's library gives.
-4. Every block of documents gets the ids of its own words and puts its documents together.
+3. A fold over the word's edges with Spark's higher-order ``aggregate`` chooses the path, a long whose bits are
+   the places where its pieces begin and end. For a unigram model the fold is Viterbi: the best score to reach each
+   place. A BPE model defines another path than the best sum, so there the fold applies its merges to
+   the same lattice. Both give what the model's library gives.
+4. Every block of documents gets the paths of its own words and puts its documents together. Blocks are ranges
+   of doc_id with about ``BLOCK_BYTES`` of text, and each has a partition of its own.
 
 Characters that no piece has become byte pieces, or the unknown id where the model has none.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from packrow.llm import common
 
 SPACE = "▁"
-#: Words of more characters are cut where no piece crosses; what stays longer is folded in the worker that needs it.
-MAX_WORD = 64
-#: Shuffle partitions that share a block of documents, and pairs that a task combines at a time.
-PER_BLOCK, _HELD = 4, 1_500_000
-_KEY, _ID = 1 << 20, 1 << 24
+#: A path is a long, so words of more characters are cut where no piece crosses; what stays longer is folded in the worker that needs it.
+MAX_WORD = 61
+#: Text bytes of a block, and words that a task combines at a time.
+BLOCK_BYTES, _HELD = 24_000_000, 400_000
+_KEY, _ID, _LATE = 1 << 20, 1 << 24, 1 << 20
 _MARKS = ".,|!*$%&#?;:"
 
 
@@ -65,11 +66,17 @@ class Model:
 
     def words(self, text: str) -> list[str]:
         """The text cut where no piece crosses; joined they are the text with a blank before it, blanks marked."""
-        if not text:
-            return []
-        found = self.cuts.findall(SPACE + text.replace(" ", SPACE))
+        return self.cut(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def cut(self, marked: str) -> list[str]:
+        found = self.cuts.findall(marked)
         return found if max(map(len, found)) <= MAX_WORD else [part for w in found for part in (self._cut(w) if len(w) > MAX_WORD else (w,))]
 
+    @staticmethod
+    def tokens(text: str) -> list[str] | None:
+        """The text split at its blanks, if each blank alone begins a word: then ``cut`` may be used token by token."""
+        return None if "  " in text or SPACE in text or text[:1] in ("", " ") or text[-1] == " " else text.split(" ")
+
     def _cut(self, word: str) -> list[str]:
         ends = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner]
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
@@ -77,13 +84,45 @@ class Model:
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
-    def fold(self, word: str) -> list[int]:
+    @cached_property
+    def packed(self) -> dict[str, bytes]:
+        return {p: np.int32(i).tobytes() for p, (i, _) in self.of.items()}
+
+    def ids(self, word: str, path: int) -> bytes:
+        """The ids along a path, as 32-bit integers."""
+        out, a, left, packed = [], 0, path >> 1, self.packed
+        while left:
+            k = (left & -left).bit_length()
+            piece = word[a : a + k]
+            out.append(packed.get(piece) or np.array(self.fallback(piece), np.int32).tobytes())
+            a, left = a + k, left >> k
+        return b"".join(out)
+
+    def fold(self, word: str) -> bytes:
         """The ids of one word of any length, as the folds in Spark give them."""
         bounds = self._merged(word) if self.merges else self._best(word)
-        out: list[int] = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            out += [self.of[word[a:b]][0]] if word[a:b] in self.of else self.fallback(word[a:b])
-        return out
+        return b"".join([self.packed.get(word[a:b]) or np.array(self.fallback(word[a:b]), np.int32).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)])
+
+    @cached_property
+    def late(self) -> set[str]:
+        """The pieces whose parts don't all rank before them, as training leaves them (runs of blanks, say).
+
+        Without those, a merge never makes a better one possible: inside a piece, merges happen as they do in the
+        piece alone, so its parts were merged before its turn, and one pass over a word's edges by rank is exact.
+        """
+        rank, none = {p: -s for p, _, s in self.pieces}, float("inf")
+        found = set()
+        for p in rank:
+            symbols, last = list(p), -none
+            while len(symbols) > 1:
+                best, at = min((rank.get(symbols[i] + symbols[i + 1], none), i) for i in range(len(symbols) - 1))
+                if best == none:
+                    break
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                if len(symbols) == 1 and last >= rank[p]:
+                    found.add(p)
+                last = max(last, best)
+        return found
 
     def _merged(self, word: str) -> list[int]:
         import heapq
@@ -128,9 +167,7 @@ class Model:
 
     def decode(self, ids) -> str:
         """The text of the ids: bytes put together, marks turned into blanks, the first blank dropped."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
-
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 @cache
@@ -140,63 +177,84 @@ def model(path: str) -> Model:
 
 
 def edges(words: DataFrame, m: Model) -> DataFrame:
-    """(word, lattice, ...) of different words: a map from start * KEY + end to what stands there.
+    """(word, lattice, ...) of different words.
 
-    That is order of score * ID + id; for a unigram model a struct of it and the score. The substrings of a word
-    are exploded, joined with the pieces and grouped by word; only those that are pieces get as far as that. With
-    the words partitioned by word nothing is shuffled. The empty substring, which is no edge, keeps words
-    without any and carries the word's other columns.
+    For a BPE model the lattice has the edges of two characters or more as sorted longs: rank, whether late, start, length. For a
+    unigram model it is a map from start * KEY + end to id and score. The substrings of a word are exploded, joined
+    with the pieces and grouped by word; only those that are pieces get as far as that. With the words partitioned
+    by word nothing is shuffled. The empty substring, which is no edge, keeps words without any and carries the
+    word's other columns.
     """
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, _, s in m.pieces}, reverse=True))}
-    rows = [("", -1, 0.0), *((p, order[s] * _ID + i, s) for p, i, s in m.pieces)]
+    least = 2 if m.merges else 1
+    rows = [("", -1, 0.0), *((p, order[s] << 32 | _LATE * (p in m.late) if m.merges else order[s] * _ID + i, s) for p, i, s in m.pieces if len(p) >= least)]
     table = spark.createDataFrame(rows, "piece string, value long, score double")
     rest = [c for c in words.columns if c != "word"]
     spans = words.select("word", *rest, F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("s"))
-    spans = spans.withColumn("l", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(m.longest), F.length("word") - F.col("s")))))
+    lengths = F.sequence(F.lit(least), F.least(F.lit(m.longest), F.length("word") - F.col("s")))
+    lengths = F.when(F.length("word") - F.col("s") >= least, lengths).otherwise(F.array().cast("array<int>"))
+    spans = spans.withColumn("l", F.explode(F.when(F.col("s") == 0, F.concat(F.array(F.lit(0)), lengths)).otherwise(lengths)))
     once = [F.when(F.col("l") == 0, F.col(c)).alias(c) for c in rest]
     found = spans.select("word", "s", "l", *once, F.substring("word", F.col("s") + 1, F.col("l")).alias("piece")).join(F.broadcast(table), "piece")
-    value = F.col("value") if m.merges else F.struct("value", "score")
-    edge = F.struct((F.col("s") * _KEY + F.col("s") + F.col("l")).cast("long").alias("k"), value.alias("v"))
-    return found.groupBy("word").agg(F.map_from_entries(F.collect_list(edge)).alias("lattice"), *[F.max(c).alias(c) for c in rest])
+    if m.merges:
+        edge = F.when(F.col("l") > 0, F.col("value") + F.col("s") * 256 + F.col("l"))
+        lattice = F.sort_array(F.collect_list(edge))
+    else:
+        edge = F.struct((F.col("s") * _KEY + F.col("s") + F.col("l")).cast("long").alias("k"), F.struct("value", "score").alias("v"))
+        lattice = F.map_from_entries(F.collect_list(edge))
+    return found.groupBy("word").agg(lattice.alias("lattice"), *[F.max(c).alias(c) for c in rest])
 
 
 def _at(lattice: Column, a: Column, b: Column) -> Column:
     return F.element_at(lattice, (a.cast("long") * _KEY + b))
 
 
-def _let(value: Column, body) -> Column:
+def _bound(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merge_fold(word: Column, lattice: Column) -> Column:
-    """Bounds of the pieces of a word by BPE merges: always the best piece over two neighbours, the first of equal ones.
+def merge_fold(word: Column, lattice: Column, search: bool = False) -> Column:
+    """The path of a word by BPE merges: always the best piece over two neighbours, the first of equal ones.
 
-    The fold's state is the bounds b and, for each inner bound, what stands over its two symbols (v); a merge takes a
-    bound away and looks up only what changed on its two sides.
+    The fold's state is the path so far, at first all places. An edge can be merged if of the places from its start
+    to its end the path has these two and one between, which then goes. One pass over the edges by rank does it;
+    words with a late piece, or all if asked to, ``search`` for the best edge again after each merge.
     """
-    none = 1 << 62
-    over = lambda a, b: F.coalesce(_at(lattice, a, b), F.lit(none))
-    empty = F.array().cast("array<bigint>")
+    one = F.lit(1).cast("long")
+
+    def start(x: Column) -> Column:
+        return F.shiftright(x, 8).bitwiseAND(F.lit(63)).cast("int")
+
+    def between(path: Column, x: Column) -> Column:
+        """The place between, counted from the start, as a bit; another number where there isn't just one."""
+        full = _shift(F.lit(2).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")) - 1
+        return F.call_function("shiftright", path, start(x)).bitwiseAND(full) - F.shiftright(full, 1) - 2
+
+    def merged(path: Column, x: Column) -> Column:
+        return _bound(between(path, x), lambda place: F.when((place > 1) & (F.bit_count(place) == 1), path - _shift(place, start(x))).otherwise(path))
+
+    def passed(edges: Column) -> Column:
+        return F.aggregate(edges, _shift(one, F.length(word) + 1) - 1, merged)
+
+    def searched(edges: Column) -> Column:
+        def best(path: Column, _: Column) -> Column:
+            return F.aggregate(F.slice(F.filter(edges, lambda x: _bound(between(path, x), lambda place: (place > 1) & (F.bit_count(place) == 1))), 1, 1), path, merged)
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(word)), _shift(one, F.length(word) + 1) - 1, best)
 
-    def merged(st: Column, p: Column) -> Column:
-        b, v = st["b"], st["v"]
-        left = F.when(p > 1, F.array(over(F.get(b, p - 2), F.get(b, p + 1)))).otherwise(empty)
-        right = F.when(p < F.size(v), F.array(over(F.get(b, p - 1), F.get(b, p + 2)))).otherwise(empty)
-        bounds = F.concat(F.slice(b, F.lit(1), p), F.slice(b, p + 2, F.size(b)))
-        return F.struct(bounds.alias("b"), F.concat(F.slice(v, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(v, p + 2, F.size(v))).alias("v"))
+    if search:
+        return _bound(lattice, searched)
+    return _bound(lattice, lambda edges: F.when(F.exists(edges, lambda x: x.bitwiseAND(F.lit(_LATE)) != 0), searched(edges)).otherwise(passed(edges)))
 
-    def step(st: Column, _: Column) -> Column:
-        return _let(F.array_min(st["v"]), lambda best: F.when(best.isNull() | (best == none), st).otherwise(_let(F.array_position(st["v"], best).cast("int"), lambda p: merged(st, p))))
 
-    n = F.length(word)
-    first = F.struct(F.sequence(F.lit(0), n).alias("b"), F.transform(F.sequence(F.lit(1), n - 1), lambda i: over(i - 1, i + 1)).alias("v"))
-    return F.when(n < 2, F.sequence(F.lit(0), n)).otherwise(F.aggregate(F.sequence(F.lit(2), n), first, step)["b"])
+def _shift(x: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", x, by)
 
 
 def viterbi_fold(word: Column, lattice: Column, longest: int, unknown: float) -> Column:
-    """Bounds of the best path: for each place the best sum of scores so far and where its last edge starts."""
+    """The best path: for each place the best sum of scores so far and where its last edge starts."""
 
     def step(path: Column, e: Column) -> Column:
         def reach(s: Column) -> Column:
@@ -209,34 +267,18 @@ def viterbi_fold(word: Column, lattice: Column, longest: int, unknown: float) ->
 
     begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back")))
     path = F.aggregate(F.sequence(F.lit(1), F.length(word)), begin, step)
-    walk = lambda p: F.aggregate(F.sequence(F.lit(1), F.length(word)), F.array(F.length(word)), lambda acc, _: F.when(F.get(acc, F.lit(0)) == 0, acc).otherwise(F.concat(F.array(-F.get(p, F.get(acc, F.lit(0)))["back"]), acc)))
+    back = lambda p, at: -F.get(p, at)["back"]
+    last = F.struct(_shift(F.lit(1).cast("long"), F.length(word)).alias("path"), F.length(word).alias("at"))
+    walk = lambda p: F.aggregate(F.sequence(F.lit(1), F.length(word)), last, lambda st, _: F.when(st["at"] == 0, st).otherwise(F.struct((st["path"].bitwiseOR(_shift(F.lit(1).cast("long"), back(p, st["at"])))).alias("path"), back(p, st["at"]).alias("at"))))["path"]
     return F.element_at(F.transform(F.array(path), walk), 1)
 
 
-def _ids(word: Column, lattice: Column, bounds: Column, m: Model) -> Column:
-    """The ids between the bounds; a character without a piece gives its bytes' ids, or the unknown one."""
-    if m.bytes:
-        first = min(m.bytes.values())
-        if any(i != first + b for b, i in m.bytes.items()):
-            raise ValueError("byte pieces must stand in order")
-        spare = lambda c: F.transform(F.sequence(F.lit(1), F.octet_length(c)), lambda k: F.conv(F.substring(F.hex(F.encode(c, "UTF-8")), k * 2 - 1, F.lit(2)), 16, 10).cast("int") + first)
-    else:
-        spare = lambda c: F.array(F.lit(m.unknown))
-
-    def piece(i: Column) -> Column:
-        hit = _at(lattice, F.get(bounds, i), F.get(bounds, i + 1))
-        hit = hit if m.merges else hit["value"]
-        return F.when(hit.isNotNull(), F.array((hit % _ID).cast("int"))).otherwise(spare(F.substring(word, F.get(bounds, i) + 1, F.lit(1))))
-
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), piece))
-
-
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids, ...) of different, not empty words of at most MAX_WORD characters."""
+def word_paths(words: DataFrame, path: str) -> DataFrame:
+    """(word, path, ...) of different, not empty words of at most MAX_WORD characters."""
     m = model(path)
     word, lattice = F.col("word"), F.col("lattice")
-    bounds = merge_fold(word, lattice) if m.merges else viterbi_fold(word, lattice, m.longest, m.worst - 10)
-    return edges(words, m).withColumn("bounds", bounds).select("word", _ids(word, lattice, F.col("bounds"), m).alias("ids"), *[c for c in words.columns if c != "word"])
+    chosen = merge_fold(word, lattice) if m.merges else _bound(lattice, lambda x: viterbi_fold(word, x, m.longest, m.worst - 10))
+    return edges(words, m).select("word", chosen.alias("path"), *[c for c in words.columns if c != "word"])
 
 
 def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
@@ -247,69 +289,85 @@ def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
     Other columns aren't read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    n = blocks or max(1, common.partitions(spark) // PER_BLOCK)
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = narrow.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    edge = np.array(sorted(set(cuts or [])), np.int64)
-
-    def block_of(ids: pa.Array) -> np.ndarray:
-        return np.searchsorted(edge, ids.fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+    ranges = common.Blocks(narrow, BLOCK_BYTES, blocks)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, held = model(path), {}
+        """The different words of each block in a task."""
+        m, tokens, words = model(path), {}, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for b, found in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(np.full(len(found), b, np.int32))], names=["word", "block"])
-            held.clear()
+            for b in tokens.keys() | words.keys():
+                found = words.get(b, set())
+                for t in tokens.get(b, ()):
+                    if t.isalnum() and len(t) < MAX_WORD:
+                        found.add(SPACE + t)
+                    else:
+                        found.update(m.cut(SPACE + t))
+                found = [w for w in found if len(w) <= MAX_WORD]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(np.full(len(found), b, np.int32))], names=["word", "block"])
+            tokens.clear()
+            words.clear()
 
         for part, texts in common.text_slices(batches):
-            for b, text in zip(block_of(part.column(0)).tolist(), texts, strict=True):
-                held.setdefault(b, set()).update(w for w in m.words(text) if len(w) <= MAX_WORD)
-            if sum(map(len, held.values())) > _HELD:
+            for b, text in zip(ranges.of(part.column(0)).tolist(), texts, strict=True):
+                if (split := m.tokens(text)) is None:
+                    words.setdefault(b, set()).update(m.words(text))
+                else:
+                    tokens.setdefault(b, set()).update(split)
+            if sum(map(len, tokens.values())) + sum(map(len, words.values())) > _HELD:
                 yield from flush()
         yield from flush()
 
     words = narrow.mapInArrow(pairs, "word string, block int").repartition(common.partitions(spark), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    known = encode_words(words, path).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), "word", "ids", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("long").alias("doc_id"))
+    known = word_paths(words, path).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("path").alias("n"), F.col("word").cast("binary").alias("data"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for part, texts in common.text_slices(batches):
-            no = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(block_of(part.column(0))), pa.array(np.ones(no, np.int32)), pa.nulls(no, pa.string()), pa.nulls(no, pa.list_(pa.int32())), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary()), part.column(0).cast(pa.int64())], names=["block", "kind", "word", "ids", "blob", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(part.column(0))), pa.array(np.ones(part.num_rows, np.int32)), part.column(0).cast(pa.int64()), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary())], names=["block", "kind", "n", "data"])
 
-    # Keys that hash to a partition each, so that no two blocks share one.
-    spread = spark.range(64 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("to")).groupBy("to").agg(F.min("id").cast("int").alias("key"))
-    keys = F.array(*[F.lit(r.key) for r in spread.orderBy("to").collect()])
-    schema = "block int, kind int, word string, ids array<int>, blob binary, doc_id long"
-    rows = known.union(narrow.mapInArrow(packed, schema)).withColumn("deal", F.get(keys, F.col("block"))).repartition(n, "deal").drop("deal").sortWithinPartitions("block", "kind")
+    rows = known.union(narrow.mapInArrow(packed, "block int, kind int, n long, data binary")).repartition(ranges.n, "block").sortWithinPartitions("block", "kind")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        m, expand, block, ids_of = model(path), zstandard.ZstdDecompressor(), None, {}
+        m, expand, block = model(path), zstandard.ZstdDecompressor(), None
+        begun: dict[str, bytes] = {}  # ids of what begins with a blank, which is left out
+        inside: dict[str, bytes] = {}
+
+        def known_ids(w: str) -> bytes:
+            return m.fold(w) if len(w) > MAX_WORD else begun[w[1:]] if w[0] == SPACE else inside[w]
+
+        def encode(text: str) -> np.ndarray:
+            if (split := m.tokens(text)) is None:
+                return np.frombuffer(b"".join(map(known_ids, m.words(text))), np.int32)
+            for t in set(split).difference(begun):
+                begun[t] = b"".join(map(known_ids, m.cut(SPACE + t)))
+            return np.frombuffer(b"".join(map(begun.__getitem__, split)), np.int32)
+
         for batch in batches:
             kinds, blocks_ = batch.column(1).to_numpy(), batch.column(0).to_numpy()
             ends = np.flatnonzero(np.concatenate([[True], (kinds[1:] != kinds[:-1]) | (blocks_[1:] != blocks_[:-1])]))
             for start, end in zip(ends.tolist(), [*ends[1:].tolist(), len(kinds)], strict=True):
                 part = batch.slice(start, end - start)
                 if blocks_[start] != block:
-                    block, ids_of = blocks_[start], {}
+                    block, begun, inside = blocks_[start], {}, {}
                 if kinds[start] == 0:
-                    lists = part.column(3)
-                    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), lists.offsets.to_numpy()
-                    raw, offsets = flat.tobytes(), ((offsets - offsets[0]) * 4).tolist()
-                    ids_of.update(zip(part.column(2).to_pylist(), (raw[a:b] for a, b in zip(offsets, offsets[1:], strict=False)), strict=True))
+                    for w, p in zip(part.column(3).cast(pa.string()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                        if w[0] == SPACE:
+                            begun[w[1:]] = m.ids(w, p)
+                        else:
+                            inside[w] = m.ids(w, p)
                     continue
                 for i in range(0, part.num_rows, 64):
                     few = part.slice(i, 64)
-                    texts = [expand.decompress(x).decode() if x else "" for x in few.column(4).to_pylist()]
-                    made = [np.frombuffer(b"".join([ids_of[w] if len(w) <= MAX_WORD else np.array(m.fold(w), np.int32).tobytes() for w in m.words(x)]), np.int32) for x in texts]
+                    texts = [expand.decompress(x).decode() if x else "" for x in few.column(3).to_pylist()]
+                    made = [encode(x) for x in texts]
                     back = [m.decode(x.tolist()) for x in made]
                     sizes = np.array([len(x) for x in made])
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate([*made, np.zeros(0, np.int32)])))
-                    yield pa.RecordBatch.from_arrays([few.column(5), pa.array(sizes.astype(np.int64)), lists, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([a == b for a, b in zip(back, texts, strict=True)])], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+                    yield pa.RecordBatch.from_arrays([few.column(2), pa.array(sizes.astype(np.int64)), lists, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back]), pa.array([a == b for a, b in zip(back, texts, strict=True)])], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
     return rows.mapInArrow(put_together, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 

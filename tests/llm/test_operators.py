@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy; nulls, empties, repeats and ties."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -183,8 +184,35 @@ def test_viterbi_fold_equals_brute_force(spark):
 
     words = ["abcab", "cabab", "ccc", "xabx", "a", "bcabcabca"]
     d = pieces.edges(spark.createDataFrame([(w,) for w in words], "word string"), m)
-    d = d.withColumn("bounds", pieces.viterbi_fold(F.col("word"), F.col("lattice"), 3, m.worst - 10)).select("word", pieces._ids(F.col("word"), F.col("lattice"), F.col("bounds"), m).alias("ids"))
-    assert {r.word: r.ids for r in d.collect()} == {w: best(w)[1] for w in words} == {w: m.fold(w) for w in words}
+    d = d.select("word", pieces.viterbi_fold(F.col("word"), F.col("lattice"), 3, m.worst - 10).alias("path"))
+    ids = lambda raw: np.frombuffer(raw, np.int32).tolist()
+    assert {r.word: ids(m.ids(r.word, r.path)) for r in d.collect()} == {w: best(w)[1] for w in words} == {w: ids(m.fold(w)) for w in words}
+
+
+def test_pieces_equal_the_library_on_all_documents(spark, docs):
+    from sentencepiece import SentencePieceProcessor
+
+    texts = dict(texts_of(docs))
+    rows = pieces.encoded(docs, PIECES, 3).collect()
+    wanted = SentencePieceProcessor(model_file=PIECES).encode([texts[r.doc_id] or "" for r in rows])
+    assert len(rows) == len(texts) and [r.ids for r in rows] == wanted and all(r.round_trip for r in rows)
+
+
+def test_merge_folds_agree(spark):
+    """One pass by rank, the search for the best edge after each merge, and the worker's heap."""
+    m = pieces.model(PIECES)
+    rng = random.Random(5)
+    words = sorted({"▁" * rng.randint(0, 1) + "".join(rng.choice("abcehinorst") for _ in range(rng.randint(1, 60))) for _ in range(300)} | {"a", "▁", "é日", "a" * 61, "▁" * 40 + "ab", "▁" * 61})
+    d = pieces.edges(spark.createDataFrame([(w,) for w in words], "word string"), m)
+    rows = d.select("word", *(pieces.merge_fold(F.col("word"), F.col("lattice"), o).alias(f"p{o:d}") for o in (True, False))).collect()
+    assert len(rows) == len(words) and all(m.ids(r.word, r.p1) == m.ids(r.word, r.p0) == m.fold(r.word) for r in rows)
+
+
+def test_dealt_keys(spark):
+    for n in (1, 7, 64):
+        keys = common.dealt_keys(n).tolist()
+        at = spark.createDataFrame([(int(k),) for k in keys], "k int").repartition(n, "k").select(F.spark_partition_id().alias("p"), "k").collect()
+        assert {r.k: r.p for r in at} == {k: i for i, k in enumerate(keys)}
 
 
 # 4, 5, 7 ----------------------------------------------------------------------------------------------------------
