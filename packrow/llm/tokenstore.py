@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from packrow.llm import common
 
-END_ID, BLOCK_TOKENS = 2, 1 << 16
-_CACHE_WORDS, _CACHE_CHARS, _CACHE_STOPS = 1_000_000, 64, 10_000
+END_ID, BLOCK_TOKENS, _ROWS = 2, 1 << 16, 1024
+#: Words of each of two generations of the cache, their most characters (some 250 bytes a word with its ids, so 250 MB
+#: for a worker), runs of marks kept, and words encoded in one string.
+_CACHE_WORDS, _CACHE_CHARS, _CACHE_STOPS, _JOINED = 500_000, 64, 10_000, 500
 _STOPS = ".,!?;:|*$%&#)"
 _TWO_BLANKS, _CUTS = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?= \S)")
 #: White space besides the blank and the line end; few texts have any.
@@ -50,35 +52,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-        (line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.before: dict[str, bytes] = {}
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.stops: dict[str, bytes] = {}
-        self.skip = len(np.array([line_end], np.uint32).tobytes())
+        self.skip = len(np.array([self.line_end], np.uint32).tobytes())
+        vocabulary = self.tokenizer.get_vocab()
+        self.blank_first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank_first[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how the blank's byte is written
 
-    def _words(self, text: str) -> list[str]:
+    @staticmethod
+    def _words(text: str) -> list[str]:
         """Stretches that can be encoded alone. Those after a line end start with it, the others with their blank left out."""
-        lines = text.split("\n")
-        out = []
-        for line in lines:
-            words = line.split(" ")
-            words[0] = "\n" + words[0]
-            out += words
-        return out
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_joined(self, words: list[str], separator: str) -> list[bytes]:
+        """Ids of each letter-and-digit word behind the separator, from strings of many: a token that begins with it begins a word."""
+        out: list[bytes] = []
+        chunks = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast([separator + separator.join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            starts = (np.flatnonzero(self.blank_first[ids] if separator == " " else ids == self.line_end) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            found = [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+            if len(found) != len(chunk):
+                raise ValueError("this tokenizer doesn't cut before every blank")
+            out += found
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalnum()]
+        first = [w for w in words if w[:1] == "\n" and w[1:].isalnum()]
+        rest = [w for w in words if not (w[1:] if w[:1] == "\n" else w).isalnum()]
+        self.known.update(zip(plain, self._encode_joined(plain, " "), strict=True))
+        self.known.update(zip(first, self._encode_joined([w[1:] for w in first], "\n"), strict=True))
+        self.known.update(zip(rest, self._encode([w if w[:1] == "\n" else " " + w for w in rest]), strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the tokenizer gives them for the whole of it."""
-        known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
+        if len(self.known) > _CACHE_WORDS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         odd = [("  " in x or "\n\n" in x or "\n " in x or " \n" in x or any(c in x for c in _OTHER_BLANKS)) and bool(_TWO_BLANKS.search(x)) for x in texts]
         lists = [[] if o else self._words(x) for x, o in zip(texts, odd, strict=True)]
-        new = set().union(*lists).difference(known)
+
+        def unknown(words: set[str]) -> set[str]:
+            new = words.difference(known)
+            found = [w for w in new if w in before]
+            known.update(zip(found, map(before.__getitem__, found), strict=True))
+            return new.difference(found)
+
+        new = unknown(set().union(*lists))
         # Marks behind a letter or digit are cut off too, so that most such words are known ones.
         ended = {w: b for w in new if w[-1:] in _STOPS and (b := w.rstrip(_STOPS))[-1:].isalnum() and "<|" not in w}
-        bases = list(new.difference(ended).union(ended.values()).difference(known))
-        known.update(zip(bases, self._encode([w if w[:1] == "\n" else " " + w for w in bases]), strict=True))
+        bases = list(unknown(new.difference(ended).union(ended.values())))
+        self._learn(bases)
         runs = {w[len(b) :] for w, b in ended.items()}.difference(self.stops)
         self.stops.update(zip(runs, self._encode(list(runs)), strict=True))
         known.update((w, known[b] + self.stops[w[len(b) :]]) for w, b in ended.items())
@@ -88,7 +118,7 @@ class Encoder:
         for text, words, o in zip(texts, lists, odd, strict=True):
             raw = b"".join(self._encode(_CUTS.split(text))) if o else b"".join(map(known.__getitem__, words))[self.skip :]
             out.append(np.frombuffer(raw, np.uint32))
-        for w in {w for w in new.union(bases) if len(w) > _CACHE_CHARS}:
+        for w in [w for w in new.union(bases) if len(w) > _CACHE_CHARS]:
             del known[w]
         return out
 
@@ -105,27 +135,37 @@ def encoder(path: str) -> Encoder:
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit ranks."""
-    ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    ranks = ranks.astype("<u4", copy=False)
+    sizes = (ranks > 0xFF).astype(np.uint8)
+    if wide := bool(len(ranks)) and int(ranks.max()) > 0xFFFF:
+        sizes += ranks > 0xFFFF
+        sizes += ranks > 0xFFFFFF
     codes = np.zeros((len(ranks) + 3) // 4 * 4, np.uint8)
-    codes[: len(ranks)] = sizes - 1
+    codes[: len(ranks)] = sizes
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < sizes[:, None]]
-    return control.astype(np.uint8).tobytes(), data.tobytes()
+    if wide:
+        data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= sizes[:, None]]
+    else:  # the upper byte of two is kept where it is set
+        data = ranks.astype("<u2").view(np.uint8)
+        kept = np.ones(len(data), bool)
+        kept[1::2] = sizes
+        data = data[kept]
+    return control.tobytes(), data.tobytes()
 
 
-_SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1)
+_SIZES = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` ranks of a block."""
     sizes = _SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
-    starts = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(int(sizes.max(initial=0))):
-        own = sizes > k
+    starts = np.cumsum(sizes, dtype=np.int64)
+    starts -= sizes
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[starts].astype(np.uint32)
+    for k in range(1, int(sizes.max(initial=0))):
+        own = np.flatnonzero(sizes > k)
         out[own] |= raw[starts[own] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -144,13 +184,17 @@ def _expanded(blob: bytes, n: int, expand: zstandard.ZstdDecompressor) -> np.nda
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, blob) of every document, its end id included."""
+    """(doc_id, n, blob) of every document, its end id included, and for each task a row with n = -1 that counts its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=3)
-        for part, texts in common.text_slices(batches):
+        enc, squeeze = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        total = np.zeros(max(len(enc.blank_first), end_id + 1), np.int64)
+        for part, texts in common.text_slices(batches, rows=_ROWS):
             made = [np.append(x, np.uint32(end_id)) for x in enc.encode(texts)]
+            total += np.bincount(np.concatenate(made), minlength=len(total))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in made], pa.int32()), pa.array([_squeezed(x, squeeze) for x in made], pa.binary())], names=["doc_id", "n", "blob"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.array([squeeze.compress(total.astype("<i8").tobytes())], pa.binary())], names=["doc_id", "n", "blob"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n int, blob binary")
 
@@ -161,15 +205,13 @@ def ranks(tokens: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, expand = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = np.bincount(_expanded(blob, n, expand))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
+            for blob in batch.column(0).to_pylist():
+                found = np.frombuffer(expand.decompress(blob), "<i8")
+                total = found.copy() if not len(total) else total + found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    found = tokens.select("n", "blob").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
+    found = tokens.where("n = -1").select("blob").mapInArrow(counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").toPandas()
     used = found["id"].to_numpy(np.int64)
     from tokenizers import Tokenizer
 
@@ -213,7 +255,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, file
         if held:
             yield flush()
 
-    rows = tokens.repartitionByRange(files or common.partitions(spark), F.col("doc_id").asc_nulls_first())
+    rows = tokens.where("n >= 0").repartitionByRange(files or common.partitions(spark), F.col("doc_id").asc_nulls_first())
     rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "blob").mapInArrow(run, _BLOCKS).write.parquet(f"{path}/blocks")
 
 

@@ -338,12 +338,23 @@ def test_packing_roundtrip(values):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet="ab 'st.,\n\t1é<|>日 ", max_size=30), max_size=5))
+@given(st.lists(st.text(alphabet="ab 'st.,!?;:|*$%&#)\n\t1é<|>日 \u3000", max_size=30), max_size=5))
 def test_encoder_equals_the_library(texts):
     enc = tokenstore.encoder(TOKENS)
     assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_equals_the_library_on_all_documents(docs):
+    enc = tokenstore.Encoder(TOKENS)
+    texts = [t or "" for _, t in texts_of(docs)]
+    tokenstore._CACHE_WORDS, kept = 2000, tokenstore._CACHE_WORDS  # so that generations change
+    try:
+        for i in range(0, len(texts), 50):
+            assert [x.tolist() for x in enc.encode(texts[i : i + 50])] == [e.ids for e in enc.tokenizer.encode_batch(texts[i : i + 50], add_special_tokens=False)]
+    finally:
+        tokenstore._CACHE_WORDS = kept
+
+
 def test_store_roundtrip(spark, odd, none):
     from tokenizers import Tokenizer
 
