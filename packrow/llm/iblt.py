@@ -178,7 +178,8 @@ def dealt(docs: DataFrame, buckets: int) -> DataFrame:
     ahead = F.when(first, F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(1).alias("role")))
     around = F.when(wrap, F.struct(F.lit(len(cuts)).alias("bucket"), F.lit(2).alias("role")))
     rows = d.withColumn("to", F.explode(F.array_compact(F.array(own, ahead, around)))).select("to.bucket", "to.role", "doc_id", "text")
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+    deal = F.get(F.array(*[F.lit(k) for k in common.dealt_keys(buckets).tolist()]), F.col("bucket"))  # a partition for each
+    return rows.withColumn("deal", deal).repartition(buckets, "deal").drop("deal").sortWithinPartitions("bucket", "role", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
 
 
 def compared(docs: DataFrame, buckets: int | None = None) -> DataFrame:
