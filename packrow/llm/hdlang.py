@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ from pyspark.sql import functions as F
 from packrow.llm import common
 
 DIM, GRAM, SEED, FOLDS, HELD = 1024, 3, 11, 4, 2
+#: Tasks whose sums one task adds; sums are whole multiples of 1 / _ONE, so that their order changes nothing.
+FAN_IN, _ONE = 64, 1 << 24
 UNKNOWN = "und"
 #: Vectors of n-grams that a worker keeps, one byte for each dimension.
 _CACHE = 24_000
@@ -123,13 +124,22 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for lang in list(counts):
             settle(lang)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([np.rint(x * _ONE).astype(np.int64).tobytes() for x in sums.values()], pa.binary())], names=["lang", "v"])
 
-    def total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [key[0]], "v": [np.sum([np.frombuffer(x) for x in sorted(rows["v"])], axis=0).tobytes()]})
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                sums[lang] = sums.get(lang, 0) + np.frombuffer(v, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["lang", "v"])
 
-    rows = train.mapInArrow(partial, "lang string, v binary").groupBy("lang").applyInPandas(total, "lang string, v binary").orderBy("lang").collect()
-    found = np.array([np.frombuffer(r.v) for r in rows]).reshape(len(rows), DIM)
+    # Sums of sums: each level has a fraction of the tasks of the one before, and a task keeps one vector for each language.
+    rows = common.written(docs.sparkSession, train.mapInArrow(partial, "lang string, v binary"), "language-sums")
+    while (n := rows.rdd.getNumPartitions()) > FAN_IN:
+        rows = common.written(docs.sparkSession, rows.coalesce(-(-n // FAN_IN)).mapInArrow(total, "lang string, v binary"), "language-sums")
+    rows = rows.coalesce(1).mapInArrow(total, "lang string, v binary").orderBy("lang").collect()
+    found = np.array([np.frombuffer(r.v, np.int64) / _ONE for r in rows]).reshape(len(rows), DIM)
     return [r.lang for r in rows], found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-12)
 
 
