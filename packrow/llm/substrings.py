@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from packrow.llm import common, windows
 
 BATCHES, LAST = 2, (1 << 63) - 1
+#: Text bytes of a block of documents, which one task judges.
+BLOCK_BYTES = 16_000_000
 #: Anchors that a task combines at a time.
 _HELD = 150_000
 _RUN = "h long, a long, block int, doc long, n int"
@@ -77,19 +79,18 @@ def _combined(block: np.ndarray, h: np.ndarray, a: np.ndarray, doc: np.ndarray,
     return pa.RecordBatch.from_arrays([_signed(h[new]), _signed(a[new]), pa.array(block[new].astype(np.int32)), pa.array(doc[new]), pa.array(total.astype(np.int32))], names=["h", "a", "block", "doc", "n"])
 
 
-def anchor_rows(docs: DataFrame, cuts: list[int]) -> DataFrame:
+def anchor_rows(docs: DataFrame, ranges: common.Blocks) -> DataFrame:
     """The rows of a run (h, a, block, doc, n), combined within each task."""
-    edges = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for part, texts in common.text_slices(batches):
-            for doc, text in zip(part.column(0).to_pylist(), texts, strict=True):
+            for doc, block, text in zip(part.column(0).to_pylist(), ranges.of(part.column(0)).tolist(), texts, strict=True):
                 s = Stretches(text)
                 if s.n_windows:
                     k = len(s.first)
-                    held.append((np.full(k, np.searchsorted(edges, doc, side="right")), s.anchor, s.context, np.full(k, doc, np.int64), np.ones(k, np.int64)))
+                    held.append((np.full(k, block), s.anchor, s.context, np.full(k, doc, np.int64), np.ones(k, np.int64)))
                     size += k
             if size >= _HELD:
                 yield _combined(*map(np.concatenate, zip(*held, strict=True)))
@@ -139,16 +140,15 @@ class Index:
         return contexts.join(rep, "h").select(F.explode("blocks").alias("block"), "h", "a", "first", "many")
 
 
-def _packed(docs: DataFrame, cuts: list[int]) -> DataFrame:
+def _packed(docs: DataFrame, ranges: common.Blocks) -> DataFrame:
     """Documents as (block, kind 1, k1 doc, k2, k3, flag null id, blob compressed text)."""
-    edges = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for part, texts in common.text_slices(batches):
             doc = part.column(0).to_numpy(zero_copy_only=False)
             zero = np.zeros(len(doc), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, doc, side="right").astype(np.int32)), pa.array(zero.astype(np.int32) + 1), pa.array(doc), pa.array(zero), pa.array(zero), part.column(1), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary())], names=["block", "kind", "k1", "k2", "k3", "flag", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(part.column(0))), pa.array(zero.astype(np.int32) + 1), pa.array(doc), pa.array(zero), pa.array(zero), part.column(1), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary())], names=["block", "kind", "k1", "k2", "k3", "flag", "blob"])
 
     return docs.mapInArrow(run, "block int, kind int, k1 long, k2 long, k3 long, flag boolean, blob binary")
 
@@ -258,15 +258,14 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, blocks: int | None = N
     come after all others and count as one id. Null texts and texts without words keep nothing and lose nothing.
     """
     spark = docs.sparkSession
-    n = blocks or common.partitions(spark)
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = narrow.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or []))
+    ranges = common.Blocks(narrow, BLOCK_BYTES, blocks)
+    cuts = ranges.edges.tolist()
     index, low = Index(spark), None
     for k in range(batches):
         high = cuts[(k + 1) * len(cuts) // batches] if k + 1 < batches and cuts else None
         part = F.lit(True) if low is None else F.col("doc_id") >= low
-        index.add(anchor_rows(narrow.where(part if high is None else part & (F.col("doc_id") < high)).select("doc_id", "text"), cuts))
+        index.add(anchor_rows(narrow.where(part if high is None else part & (F.col("doc_id") < high)).select("doc_id", "text"), ranges))
         if high is None:
             break
         low = high
@@ -274,14 +273,14 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, blocks: int | None = N
     spark.conf.set(key, "false")  # buckets by h serve joins on (h, a)
     try:
         hits = index.hits().select("block", F.lit(0).alias("kind"), F.col("h").alias("k1"), F.col("a").alias("k2"), F.col("first").alias("k3"), F.col("many").alias("flag"), F.lit(None).cast("binary").alias("blob"))
-        rows = hits.union(_packed(narrow.select("doc_id", "none", "text"), cuts)).repartition(n, "block").sortWithinPartitions("block", "kind")
+        rows = hits.union(_packed(narrow.select("doc_id", "none", "text"), ranges)).repartition(ranges.n, "block").sortWithinPartitions("block", "kind")
         judged = common.written(spark, rows.mapInArrow(_judge, _OUT), "judged")
     finally:
         spark.conf.set(key, loose)
     again = judged.where("kind = 2").groupBy("h", "w").agg(F.min("doc_id").alias("first"), F.sum("n").alias("n"), F.collect_set("block").alias("blocks")).where("n > 1")
     again = again.select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("h").alias("k1"), F.col("w").alias("k2"), F.col("first").alias("k3"), F.lit(None).cast("boolean").alias("flag"), F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("marks"))
     left = judged.where("kind = 1").select("block", F.lit(1).alias("kind"), F.col("doc_id").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).cast("long").alias("k3"), F.col("none").alias("flag"), "blob", "marks")
-    settled = again.union(left).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_settle, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    settled = again.union(left).repartition(ranges.n, "block").sortWithinPartitions("block", "kind").mapInArrow(_settle, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     finished = judged.where("kind = 0").select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
     return finished.union(settled)
 
