@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from packrow.llm import common
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 3
-_STRIP = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+#: Keys with more than this share of all lines are joined by broadcast, so there are at most as many of them as its inverse.
+HEAVY = 1 / 4096
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def key_of(line: Column) -> Column:
     """The line without blanks at its ends, A-Z lower-cased."""
-    return F.translate(F.regexp_replace(line, _STRIP, ""), _UPPER, _LOWER)
+    return F.translate(F.btrim(line, F.lit(_BLANKS)), _UPPER, _LOWER)
 
 
 def _hash(key: Column) -> tuple[Column, Column]:
@@ -34,7 +36,7 @@ def _hash(key: Column) -> tuple[Column, Column]:
 
 
 class LineRuns:
-    """Levelled sorted runs (k1, k2, docs, top) in the shared folder."""
+    """Levelled sorted runs (k1, k2, docs, lines, top) in the shared folder."""
 
     def __init__(self, spark: SparkSession, parts: int | None = None, fanout: int = FANOUT):
         self.spark, self.parts, self.fanout = spark, parts or common.partitions(spark), fanout
@@ -55,15 +57,16 @@ class LineRuns:
         return _merged(self.all())
 
     def add(self, keys: DataFrame) -> None:
-        """Add the batch (k1, k2, doc_id, one row for each key of a document).
+        """Add the batch (k1, k2, doc_id, one row for each key of a document, lines if it stands there more than once).
 
         Batches must come in descending order of doc_id. Keys that no run holds (the anti-join's) bring
         the document that keeps the line, ``top``; keys that a run holds only add their counts.
         """
-        batch = keys.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("top"))
+        n = F.sum("lines") if "lines" in keys.columns else F.count("*")
+        batch = keys.groupBy("k1", "k2").agg(F.count("*").alias("docs"), n.alias("lines"), F.max("doc_id").alias("top"))
         if (old := self.all()) is not None:
             seen = old.select("k1", "k2").distinct().withColumn("seen", F.lit(True))
-            batch = batch.join(seen, ["k1", "k2"], "left").select("k1", "k2", "docs", F.when(F.col("seen").isNull(), F.col("top")).alias("top"))
+            batch = batch.join(seen, ["k1", "k2"], "left").select("k1", "k2", "docs", "lines", F.when(F.col("seen").isNull(), F.col("top")).alias("top"))
         self._place(0, *self._write(batch))
 
     def _place(self, level: int, path: str, run: DataFrame) -> None:
@@ -80,7 +83,7 @@ class LineRuns:
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
+    return runs.groupBy("k1", "k2").agg(F.sum("docs").alias("docs"), F.sum("lines").alias("lines"), F.max("top").alias("top"))
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -95,14 +98,14 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def frequent(spark: SparkSession, lines: DataFrame, batches: int = BATCHES, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k1, k2, top) of the keys in at least ``min_docs`` documents, from runs built batch by batch.
+    """(k1, k2, lines, top) of the keys in at least ``min_docs`` documents, from runs built batch by batch.
 
     Batches are ranges of doc_id, from its quantiles, in descending order; each document is in one
     batch, null ids in the last. Rows with the same id are one document here.
     """
     cuts = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
-    once = lines.select("doc_id", "k1", "k2").distinct()
+    once = lines.groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("lines"))
     runs = LineRuns(spark)
     high = None
     for low in [*cuts, None]:
@@ -113,7 +116,7 @@ def frequent(spark: SparkSession, lines: DataFrame, batches: int = BATCHES, min_
             part = part | F.col("doc_id").isNull()
         runs.add(once.where(part))
         high = low
-    return runs.totals().where(F.col("docs") >= min_docs).select("k1", "k2", "top")
+    return runs.totals().where(F.col("docs") >= min_docs).select("k1", "k2", "lines", "top")
 
 
 def _kept(lines: Column, drops: Column) -> Column:
@@ -130,19 +133,23 @@ def deduplicated(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_C
     others. Null and empty texts are one empty line, which stays. Rows that share a doc_id are one
     document in the counts and each keeps its lines if that id is the largest; ids of null count
     as one document that is smaller than all, so such rows never hold the kept copy unless no other
-    row has the key. Other columns stay as they are. An empty table gives an empty table.
+    row has the key. Other columns stay as they are, but for those named like the three new ones, which
+    are replaced. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    all_lines, gone = common.fresh(docs, "_lines", "_drops")
     lines = common.written(spark, line_keys(docs.select("doc_id", "text"), min_chars), "lines")
-    hot = frequent(spark, lines, batches, min_docs)
-    lost = lines.join(hot, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
-    drops = lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias("_drops"))
+    hot = common.written(spark, frequent(spark, lines, batches, min_docs), "frequent-lines")
+    # A key's lines go through one task of the join unless the key is broadcast.
+    heavy = F.broadcast(hot.where(F.col("lines") > lines.count() * HEAVY).select("k1", "k2", "top"))
+    found = lines.join(heavy, ["k1", "k2"]).union(lines.join(heavy.drop("top"), ["k1", "k2"], "left_anti").join(hot.select("k1", "k2", "top"), ["k1", "k2"]))
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    drops = lost.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("pos")).alias(gone))
     same = F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (F.xxhash64("d.text") == F.col("x.row"))
-    joined = docs.alias("d").join(drops.alias("x"), same, "left").select("d.*", "_drops")
-    split = joined.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    out = split.withColumn("_drops", F.coalesce("_drops", F.array().cast("array<int>"))).withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_n_dropped", F.size("_drops").cast("long"))
-    text = F.when(F.size("_drops") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept(F.col("_lines"), F.col("_drops")), "\n"))
-    return out.withColumn("_kept", text).drop("_lines", "_drops")
+    joined = docs.alias("d").join(drops.alias("x"), same, "left").select("d.*", gone)
+    split = joined.withColumn(all_lines, F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn(gone, F.coalesce(gone, F.array().cast("array<int>")))
+    text = F.when(F.size(gone) == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept(F.col(all_lines), F.col(gone)), "\n"))
+    return split.withColumns({"_kept": text, "_n_lines": F.size(all_lines).cast("long"), "_n_dropped": F.size(gone).cast("long")}).drop(all_lines, gone)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -308,6 +308,7 @@ def test_lines_equal_brute_force(spark, docs):
     rows = texts_of(docs)
     line = "A line that many of the documents share, word for word. "
     rows += [(1000 + i, f"{line.upper() if i % 2 else line}\nown {i}\n  {line}\n") for i in range(9)] + [(2000, None), (2001, ""), (2002, line + "x" * 50_000)]
+    rows += [(3000 + i, "y" * 45 + "  " + end) for i in range(6) for end in ("\u0085", "\u2028", "\u2029")]  # no blanks here, so they stay in the key
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for batches in (1, 4):
         done = linededup.deduplicated(df, batches)
@@ -315,6 +316,19 @@ def test_lines_equal_brute_force(spark, docs):
         assert sorted(map(tuple, found)) == slow_lines(rows)
 
 
+def test_lines_keep_clashing_columns(spark):
+    rows = [(i, "the same long line in all of the documents here\nown", 1, 2, {"a": 1}) for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _drops int, _lines int, m map<string,int>")
+    done = linededup.deduplicated(df).collect()
+    assert {(r.doc_id, r._kept, r._drops, r._lines, r.m["a"]) for r in done} == {(i, "own" if i < 6 else rows[6][1], 1, 2, 1) for i in range(7)}
+
+
+def test_stages_keep_clashing_columns(spark, labels):
+    df = spark.createDataFrame([(i, f"one two three {i}", "s", 7, 8, 9) for i in range(4)], "doc_id long, text string, source string, _size int, _copy int, _quality int")
+    for done in (mixing.mixed(df), quality.accepted(df, labels, 0.0)):
+        assert done.columns == df.columns and done.count() and {(r._size, r._copy, r._quality) for r in done.collect()} == {(7, 8, 9)}
+
+
 def test_lines_compact_and_odd_rows(spark, odd, none):
     runs = linededup.LineRuns(spark, 2, 2)
     for high in range(9, 0, -1):
