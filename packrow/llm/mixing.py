@@ -110,11 +110,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATI
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, most: int = MOST) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with their own columns."""
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    planned = plan(sized.select("doc_id", "source", F.col("_size").alias("size")), weights, ratio, most).where("copies > 0")
-    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d._size") == F.col("p.size"))
-    rows = sized.alias("d").join(planned.alias("p"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select("d.*").drop("_size")
+    size, copy = common.fresh(docs, "_size", "_copy")
+    sized = docs.withColumn(size, size_of(F.col("text")))
+    planned = plan(sized.select("doc_id", "source", F.col(size).alias("size")), weights, ratio, most).where("copies > 0")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col(f"d.{size}") == F.col("p.size"))
+    rows = sized.alias("d").join(planned.alias("p"), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("d.*").drop(size)
 
 
 ORACLE = r"""

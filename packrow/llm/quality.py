@@ -155,5 +155,6 @@ def classified(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their own columns."""
-    return score(docs, fit(docs, labels), "_quality").where(F.col("_quality") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that the classifier doesn't reject, with their own columns, whatever their names."""
+    (name,) = common.fresh(docs, "_quality")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).select(*docs.columns)
