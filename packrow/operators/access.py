@@ -81,7 +81,7 @@ def get(codec: Codec, b: Column, name: str, header: bool = True) -> Column:
     if f.presence == "constant":
         return F.when(b.isNotNull(), F.lit(f.value)).cast(f.type.spark)
     if f.is_var:
-        value = f.wire_type.read(b, var_place(codec, b, name, header))
+        value = bx.let(var_place(codec, b, name, header), lambda p: f.wire_type.read(b, p))
     else:
         value = _guarded(codec, f, b, f.wire_type.read(b, codec.offsets[name] + 8 * header, codec.endian), header)
     value = value.cast(f.type.spark) if f.wire else value
@@ -94,14 +94,27 @@ def group_place(codec: Codec, b: Column, name: str, header: bool = True) -> Colu
     for g in codec.groups:
         if g.name == name:
             return at
-        at = at + group_size(g, b, at)
+        at = _behind_group(g, b, at)
     for batch in codec.batches:
         if batch.name == name:
             return at
-        at = at + batch_size(batch.strategy, len(batch.any_of), b, at)
+        at = _behind_batch(batch, b, at)
     raise WireError("unknown_field", name)
 
 
+def _behind_group(g: Group, b: Column, at: Column) -> Column:
+    """Each place is bound once, so that expressions grow with the number of parts and not by a power of it."""
+    return bx.let(at, lambda p: p + group_size(g, b, p))
+
+
+def _behind_text(f: Field, b: Column, at: Column) -> Column:
+    return bx.let(at, lambda p: f.wire_type.behind(b, p))
+
+
+def _behind_batch(batch, b: Column, at: Column) -> Column:
+    return bx.let(at, lambda p: p + batch_size(batch.strategy, len(batch.any_of), b, p))
+
+
 def group_size(g: Group, b: Column, at: Column) -> Column:
     """Bytes of a group, header included. Framed groups must be walked, so only their decoder knows."""
     if g.framed:
@@ -120,17 +133,23 @@ def batch_size(strategy: str, kinds: int, b: Column, at: Column) -> Column:
     return total
 
 
-def var_place(codec: Codec, b: Column, name: str, header: bool = True) -> Column:
-    """Where a length-prefixed field begins: behind the block, the groups and batches, and the fields before it."""
+def _behind_parts(codec: Codec, b: Column, header: bool) -> Column:
+    """Where the length-prefixed fields begin."""
     at = block_end(codec, b, header)
     for g in codec.groups:
-        at = at + group_size(g, b, at)
+        at = _behind_group(g, b, at)
     for batch in codec.batches:
-        at = at + batch_size(batch.strategy, len(batch.any_of), b, at)
+        at = _behind_batch(batch, b, at)
+    return at
+
+
+def var_place(codec: Codec, b: Column, name: str, header: bool = True) -> Column:
+    """Where a length-prefixed field begins: behind the block, the groups and batches, and the fields before it."""
+    at = _behind_parts(codec, b, header)
     for f in codec.var_fields:
         if f.name == name:
             return at
-        at = f.wire_type.behind(b, at)
+        at = _behind_text(f, b, at)
     raise WireError("unknown_field", name)
 
 
@@ -138,13 +157,8 @@ def rest_place(codec: Codec, b: Column, header: bool = True) -> Column:
     """Where the record ends."""
     last = codec.var_fields[-1] if codec.var_fields else None
     if last is not None:
-        return last.wire_type.behind(b, var_place(codec, b, last.name, header))
-    at = block_end(codec, b, header)
-    for g in codec.groups:
-        at = at + group_size(g, b, at)
-    for batch in codec.batches:
-        at = at + batch_size(batch.strategy, len(batch.any_of), b, at)
-    return at
+        return _behind_text(last, b, var_place(codec, b, last.name, header))
+    return _behind_parts(codec, b, header)
 
 
 def decode_only(codec: Codec, b: Column, names: list[str]) -> Column:

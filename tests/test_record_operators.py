@@ -180,3 +180,13 @@ def test_group_limits(spark):
         layout.pack(codec, {"g": [1] * 70_000})
     raw = lambda size, n, body: spark.range(1).select(F.lit(bytearray(size.to_bytes(2, "little") + n.to_bytes(2, "little") + body)).alias("data")).select(collections.group_error(data(), 0, 10, 50).alias("e")).first().e
     assert raw(0, 1, b"") == "invalid_block_length" and raw(1, 11, b"") == "max_entries_exceeded" and raw(10, 9, b"") == "max_bytes_exceeded" and raw(2, 3, b"12345") == "insufficient_data" and raw(2, 3, b"123456") is None
+
+
+def test_string_access_grows_linearly(spark):
+    codec = Codec("Strings", template_id=611, schema_id=61, fields=[Field("id", "u64"), *(Field(f"s{k}", "string16") for k in range(20))])
+    row = {"id": 7} | {f"s{k}": "x" * k for k in range(20)}
+    df = spark.createDataFrame([(bytearray(layout.pack(codec, row)),)], "data binary")
+    read = df.select(*(access.get(codec, F.col("data"), f"s{k}").alias(f"s{k}") for k in range(20)))
+    assert read.first().asDict() == {k: v or None for k, v in row.items() if k != "id"}
+    size = lambda k: len(str(access.get(codec, F.col("data"), f"s{k}")._jc.toString()))
+    assert size(19) - size(10) <= 1.2 * (size(10) - size(1))
