@@ -1,8 +1,9 @@
 """Encoding and decoding whole records in Arrow batches.
 
-Records of a fixed block are handled as numpy arrays, many at a time; a batch that mixes versions is
-handled by block length. Other layouts are sequential by nature and are walked record by record
-inside the batch. Both are narrow: no shuffle, no state, valid in streams too.
+Records of a fixed block and length-prefixed fields are handled as numpy arrays, many at a time: blocks by their
+length where versions are mixed, lengths column by column. Only records that can't be read so, because of an error, are
+looked at one by one for its code. Groups and batches are sequential by nature, so codecs that have them are walked
+record by record inside the batch. All is narrow: no shuffle, no state, valid in streams too.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from packrow import layout
 from packrow.layout import HEADER, Codec
-from packrow.types import Bool, Datetime, Enum, Float, Int, Scaled, Timestamp, Uuid, WireError
+from packrow.types import Bool, Datetime, Enum, Float, Int, Scaled, Text, Timestamp, Uuid, WireError
 
 ERROR = T.StructType([T.StructField("code", T.StringType()), T.StructField("detail", T.StringType())])
 
@@ -129,7 +130,8 @@ def encode_batch(codec: Codec, batch: pa.RecordBatch, header: bool = True) -> pa
     """The records of a batch whose columns are named as the fields, groups and batches."""
     have = set(batch.schema.names)
     col = lambda n: batch.column(batch.schema.get_field_index(n)) if n in have else pa.nulls(batch.num_rows)
-    if not codec.simple or batch.num_rows > 10_000_000 // max(1, codec.block_length + 8):
+    texts = None if codec.groups or codec.batches else _texts(codec, col)
+    if texts is None or batch.num_rows > 10_000_000 // max(1, codec.block_length + 8):
         parts = [x.name for x in (*codec.fields, *codec.groups, *codec.batches) if x.name in have]
         rows = zip(*(col(n).to_pylist() for n in parts), strict=True) if parts else [()] * batch.num_rows
         return pa.array([layout.pack(codec, dict(zip(parts, r, strict=True)), header) for r in rows], pa.binary())
@@ -149,7 +151,50 @@ def encode_batch(codec: Codec, batch: pa.RecordBatch, header: bool = True) -> pa
             out[:, at : at + t.size] = _write(t, column, codec.endian)
         else:
             out[:, at : at + t.size] = np.frombuffer(b"".join(t.pack(x, codec.endian) for x in column.to_pylist()), np.uint8).reshape(-1, t.size)
-    return _fixed(out)
+    return _ragged(out, texts) if texts else _fixed(out)
+
+
+def _texts(codec: Codec, col) -> list[tuple[int, np.ndarray, np.ndarray]] | None:
+    """(prefix size, lengths, bytes) of each length-prefixed column; None where one isn't text or all are too large for one array."""
+    found, total = [], 0
+    for f in codec.var_fields:
+        if type(f.wire_type) is not Text:
+            return None
+        column = col(f.name)
+        if f.default is not None:
+            column = pc.fill_null(column.cast(pa.string()), f.default)
+        elif column.null_count and f.presence == "required":
+            raise WireError("required_field", f.name)
+        column = pc.fill_null(column.cast(pa.string()).cast(pa.large_binary()), b"")
+        ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+        sizes = np.diff(ends)
+        if len(sizes) and sizes.max() >= 1 << (8 * f.wire_type.prefix):
+            raise WireError("out_of_range", f"{sizes.max()} bytes don't fit a {f.wire_type.name}")
+        raw = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+        found.append((f.wire_type.prefix, sizes, raw))
+        total += len(raw) + (codec.block_length + 16) * len(sizes)
+    return found if total < 1 << 31 else None
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the stretches that begin at ``starts``."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _ragged(block: np.ndarray, texts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Array:
+    """Records of a block each and the texts behind it."""
+    rows, width = block.shape
+    ends = np.cumsum(width + sum(prefix + sizes for prefix, sizes, _ in texts))
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    out, at = np.empty(int(offsets[-1]), np.uint8), offsets[:-1].astype(np.int64)
+    out[(at[:, None] + np.arange(width)).ravel()] = block.ravel()
+    at += width
+    for prefix, sizes, raw in texts:
+        out[(at[:, None] + np.arange(prefix)).ravel()] = sizes.astype("<u4").view(np.uint8).reshape(rows, 4)[:, :prefix].ravel()
+        out[_spans(at + prefix, sizes)] = raw
+        at += prefix + sizes
+    return pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def encode(df: DataFrame, codec: Codec, out: str = "data", keep: list[str] | None = None, header: bool = True) -> DataFrame:
@@ -182,23 +227,85 @@ def _errors(codes: list, details: list) -> pa.Array:
 def decode_batch(codec: Codec, data: pa.Array, fields: list[str], header: bool = True, missing_group: str = "error") -> tuple[list[pa.Array], pa.Array]:
     """(one column for each of ``fields``, error structs) of binary records; a record with an error is null everywhere."""
     kinds = {f.name: to_arrow_type(f.dataType) for f in codec.struct_type().fields}
-    rows = len(data)
-    if codec.simple and rows and data.null_count == 0:
-        ends = np.frombuffer(data.buffers()[1], np.int32, rows + 1, data.offset * 4)
-        sizes = np.diff(ends)
-        lead = 8 * header
-        if (sizes == lead + codec.block_length).all():
-            raw = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(rows, -1)
-            good = not header or bool((raw[:, :8] == np.frombuffer(codec.header_bytes(), np.uint8)).all())
-            required = [f for f in codec.fixed if f.presence == "required"]
-            if good:
-                made, null = {}, False
-                for f in dict.fromkeys([*[codec.field(n) for n in fields], *required]):
-                    column = _vector(codec, f, raw, lead, kinds[f.name])
-                    null |= f.presence == "required" and column.null_count > 0
-                    made[f.name] = column
-                if not null:
-                    return [made[n] for n in fields], _errors([None] * rows, [None] * rows)
+    if codec.groups or codec.batches or not all(type(f.wire_type) is Text for f in codec.var_fields):
+        return _walked(codec, data, fields, kinds, header, missing_group)
+    columns, good = _columns(codec, data, fields, kinds, header)
+    if good.all():
+        return columns, _errors([None] * len(data), [None] * len(data))
+    rest, errors = _walked(codec, data.filter(pa.array(~good)), fields, kinds, header, missing_group)
+    place = np.empty(len(data), np.int64)
+    place[good], place[~good] = np.arange(good.sum()), good.sum() + np.arange((~good).sum())
+    fine = _errors([None] * int(good.sum()), [None] * int(good.sum()))
+    join = lambda x, y: pa.concat_arrays([x, y]).take(pa.array(place))
+    return [join(x, y) for x, y in zip(columns, rest, strict=True)], join(fine, errors)
+
+
+def _columns(codec: Codec, data: pa.Array, fields: list[str], kinds: dict[str, pa.DataType], header: bool) -> tuple[list[pa.Array], np.ndarray]:
+    """The columns of the records without an error, and which these are."""
+    rows, lead = len(data), 8 * header
+    ends = np.frombuffer(data.buffers()[1], np.int32, rows + 1, data.offset * 4).astype(np.int64) if rows else np.zeros(1, np.int64)
+    buf = np.frombuffer(data.buffers()[2], np.uint8) if rows and data.buffers()[2] is not None else np.zeros(0, np.uint8)
+    good = data.is_valid().to_numpy(zero_copy_only=False) & (np.diff(ends) >= lead)
+    length = np.full(rows, codec.block_length, np.int64)
+    if header:
+        heads = buf[(ends[:-1][good, None] + np.arange(8)).ravel()].view("<u2").reshape(-1, 4).astype(np.int64)
+        length[good] = heads[:, 0]
+        good[good] = (heads[:, 1] == codec.template_id) & (heads[:, 2] == codec.schema_id) & (heads[:, 3] <= codec.version)
+    good &= np.diff(ends) >= lead + length
+    if codec.simple and not codec.fixed:
+        good &= np.diff(ends) == lead + length
+    at, end = ends[:-1] + lead + length, ends[1:]
+    texts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for f in codec.var_fields:
+        prefix, size = f.wire_type.prefix, np.zeros(rows, np.int64)
+        there = good & (at < end)
+        good &= ~there | (at + prefix <= end)
+        there &= good
+        for k in range(prefix):
+            size[there] |= buf[at[there] + k].astype(np.int64) << (8 * k)
+        begin = at + prefix * there
+        good &= begin + size <= end
+        texts[f.name] = begin, size
+        at = np.where(good, begin + size, end)
+    required = [f for f in codec.fields if f.presence == "required" and not f.virtual]
+    while True:
+        made, absent = {}, np.zeros(int(good.sum()), bool)
+        block = _blocks(codec, buf, ends[:-1][good] + lead, length[good])
+        for f in dict.fromkeys([*[codec.field(n) for n in fields], *required]):
+            column = _text(f, buf, *(x[good] for x in texts[f.name]), kinds[f.name]) if f.is_var else _vector(codec, f, block, 0, kinds[f.name])
+            made[f.name] = column
+            if f.presence == "required":
+                absent |= column.is_null().to_numpy(zero_copy_only=False)
+        if not absent.any():
+            return [made[n] for n in fields], good
+        good[good] = ~absent
+
+
+def _blocks(codec: Codec, buf: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The fixed blocks as rows of bytes; what a shorter one lacks is null."""
+    width = codec.block_length
+    out = np.tile(np.frombuffer(codec.null_block, np.uint8), (len(starts), 1))
+    for n in np.unique(np.minimum(length, width)).tolist():
+        own = np.minimum(length, width) == n
+        out[own, :n] = buf[(starts[own, None] + np.arange(n)).ravel()].reshape(-1, n)
+    return out
+
+
+def _text(f: layout.Field, buf: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Texts by their places; empty ones are null."""
+    raw, offsets = buf[_spans(begin, size)], np.concatenate([[0], np.cumsum(size)])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [_validity(size == 0), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+    try:
+        column = column.cast(pa.large_string())
+    except pa.ArrowInvalid:  # not UTF-8
+        column = pa.array([None if x is None else x.decode("utf-8", "replace") for x in column.to_pylist()], pa.large_string())
+    if f.default is not None and column.null_count:
+        column = pc.fill_null(column, f.default)
+    return column.cast(kind)
+
+
+def _walked(codec: Codec, data: pa.Array, fields: list[str], kinds: dict[str, pa.DataType], header: bool, missing_group: str) -> tuple[list[pa.Array], pa.Array]:
+    """The same record by record."""
     values, codes, details = [], [], []
     for x in data.to_pylist():
         try:
