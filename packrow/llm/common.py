@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Let go of the shuffle files of jobs that are over: Spark removes them when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage is cut, and lost executors cost nothing."""
     path = scratch_path(spark, name)
