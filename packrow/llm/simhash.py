@@ -127,14 +127,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def classes(prints: DataFrame, dense: int = DENSE, edges: DataFrame | None = None) -> DataFrame:
+def classes(prints: DataFrame, dense: int = DENSE, nodes: DataFrame | None = None) -> DataFrame:
     """(fp, head, component_id) for every fingerprint of the table (doc_id, fp); head is the class's smallest fingerprint.
 
-    Without ``edges`` classes are those of fingerprints within two bits.
+    ``nodes`` has (node, component) of the fps in classes of several; without it classes are those of fingerprints within two bits.
     """
     spark = prints.sparkSession
     distinct = common.written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    nodes = graph.components(links(distinct.select("fp"), dense) if edges is None else edges).withColumnsRenamed({"node": "fp", "component": "head"})
+    nodes = (graph.components(links(distinct.select("fp"), dense)) if nodes is None else nodes).withColumnsRenamed({"node": "fp", "component": "head"})
     labelled = distinct.join(nodes, "fp", "left").withColumn("head", F.coalesce("head", "fp"))
     heads = labelled.groupBy("head").agg(F.min("least").alias("component_id"))
     return labelled.join(heads, "head").select("fp", "head", "component_id")

@@ -1,6 +1,10 @@
 """Near-duplicates by similarity: classes of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8.
 
-Any two such sets share k shingles among the first n - ceil(0.8 n) + k of each, n being its own size, under any
+SimHash comes first: :func:`simhash.links` finds the fingerprints (of 5-word shingles) within two bits by its pigeonring
+chains, and the links whose sets are similar by exact comparison make the first classes. Similar sets can differ in more
+bits than the segments of a 64-bit ring can serve as keys for, so what those classes leave apart goes on to a join of the sets:
+
+Any two similar sets share k shingles among the first n - ceil(0.8 n) + k of each, n being its own size, under any
 one order of all shingles; k is a twentieth of the smaller size. Those shingles are the join keys, so no pair is
 missed; pairs that share k keys are compared exactly, if their sketches are near enough to be of similar sets. The order puts shingles in crowded hash buckets last, which only saves work.
 
@@ -32,7 +36,7 @@ _BUCKETS = 1 << 18
 _EVERY = 20
 #: Bits of a set's sketch.
 _BITS = 512
-#: So many sets at most are looked up by broadcast, some 60 bytes each.
+#: So many sets at most are looked up by broadcast, some 60 bytes each, and so many links are put together in the driver.
 _BROADCAST = 100_000
 
 
@@ -81,20 +85,21 @@ def _ranks(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, row, fp, n, keys, sketch): a hash of the text, one of its set of shingles, the set's size, keys and sketch."""
+    """(doc_id, row, fp, n, simhash, keys, sketch): a hash of the text, one of its set of shingles, the set's size, the text's SimHash, the set's keys and sketch."""
     late = _ranks(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in common.text_slices(batches):
             sets = [shingles(x, words) for x in texts]
             prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            bitwise = np.array([simhash.fingerprint(x, words) for x in texts], np.uint64).view(np.int64)
             keys = pa.array([keys_of(s, late, percent).view(np.int64) for s in sets], pa.list_(pa.int64()))
             bits = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), keys, bits], names=["doc_id", "row", "fp", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(bitwise), keys, bits], names=["doc_id", "row", "fp", "n", "simhash", "keys", "sketch"])
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     longs = F.array().cast("array<long>")
-    return narrow.mapInArrow(run, narrow.select("doc_id", "row", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("n"), longs.alias("keys"), longs.alias("sketch")).schema)
+    return narrow.mapInArrow(run, narrow.select("doc_id", "row", F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("simhash"), longs.alias("keys"), longs.alias("sketch")).schema)
 
 
 def _sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -156,9 +161,41 @@ def _sharing(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("ka", "kb")) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def ring_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fps that connect those with equal SimHash fingerprints, and these by their pigeonring links."""
+    spark = prints.sparkSession
+    heads = common.written(spark, prints.groupBy("simhash").agg(F.min("fp").alias("head")), "similar-simhash")
+    same = prints.select("fp", "simhash").distinct().join(heads, "simhash").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    left, right = (heads.select(F.col("simhash").alias(x), F.col("head").alias(f"h{x}")) for x in "ab")
+    near = simhash.links(heads.select(F.col("simhash").alias("fp"))).join(left, "a").join(right, "b")
+    near = near.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    return common.written(spark, same.union(near).where("a <> b").distinct(), "similar-ring")
+
+
+def _classed(rows: DataFrame, nodes: DataFrame, fp: str = "fp", out: str = "class") -> DataFrame:
+    """``rows`` with the class of a column of fps; one without links is its own."""
+    return rows.join(nodes.select(F.col("node").alias(fp), F.col("component").alias(out)), fp, "left").withColumn(out, F.coalesce(out, fp))
+
+
 def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int = PERCENT, dense: int = DENSE, pivots: int = PIVOTS) -> DataFrame:
-    """Edges (a, b) between similar fps, whose components are those of all similar pairs."""
+    """(node, component) of the fps that are similar to others: the smallest fp of the class, by all similar pairs."""
     spark = docs.sparkSession
+
+    def joined(nodes: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """(node, component) after the pairs that are similar. With nothing new the classes stay."""
+        new = None if pairs.isEmpty() else _similar(docs, prints, pairs, words, percent)
+        if nodes is not None and (new is None or new.isEmpty()):
+            return nodes
+        old = spark.createDataFrame([], "a long, b long") if nodes is None else nodes.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        edges = old if new is None else old.union(new)
+        found = graph.few_components(edges) if edges.count() <= _BROADCAST else graph.components(edges)
+        found = common.written(spark, found, "similar-classes")
+        common.swept(spark)
+        return found
+
+    ring = common.written(spark, _near(prints, ring_pairs(prints), percent), "similar-pairs")
+    common.swept(spark)
+    nodes = joined(None, ring)
     keyed = prints.select("fp", "n", "keys").dropDuplicates(["fp"]).select("fp", "n", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = common.written(spark, keyed.join(sizes, "key"), "similar-keys")
@@ -168,33 +205,36 @@ def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int =
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent))
     needed = _needed(F.col("a.n"), F.col("b.n"))
     pairs = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("keys"), F.min(needed).alias("needed")).where("keys >= needed").select("a", "b")
-    pairs = common.written(spark, _near(prints, common.written(spark, pairs, "similar-met"), percent), "similar-pairs")
+    apart = _classed(_classed(common.written(spark, pairs, "similar-met"), nodes, "a", "ca"), nodes, "b", "cb").where("ca <> cb").select("a", "b")
+    pairs = common.written(spark, _near(prints, apart, percent), "similar-pairs")
     common.swept(spark)
     # A pair that also shares dense keys may miss the number here, but is compared at those.
-    found = [_similar(docs, prints, pairs, words, percent)]
+    nodes = joined(nodes, pairs)
     left = shared.where(F.col("many") > dense).select("key", "fp", "n")
     everyone, turn = left, 0
     while not left.isEmpty():
-        nodes = graph.components(reduce(DataFrame.union, found)).withColumnsRenamed({"node": "fp", "component": "class"})
-        classed = lambda x, nodes=nodes: x.join(nodes, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-        counts = classed(left).groupBy("key", "class").agg(F.count("*").alias("n"))
+        counts = _classed(left, nodes).groupBy("key", "class").agg(F.count("*").alias("n"))
         major = counts.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.class").alias("major"), (F.col("all") - F.col("top.n")).alias("minor")).where("minor > 0")
-        open_ = common.written(spark, classed(left).join(major, "key"), "similar-open")
-        step = F.ceil(F.col("minor") / (pivots << turn))
+        open_ = common.written(spark, _classed(left, nodes).join(major, "key"), "similar-open")
+        if open_.isEmpty():
+            break
+        step = F.ceil(F.col("minor") / (pivots << 2 * turn))
         drawn = (F.col("class") != F.col("major")) & (F.pmod(F.xxhash64("fp", F.lit(turn)), step) == 0)
-        p, o = open_.where(drawn).alias("p"), classed(everyone).alias("o")
+        p, o = open_.where(drawn).alias("p"), _classed(everyone, nodes).alias("o")
         met = p.join(o, (F.col("p.key") == F.col("o.key")) & (F.col("p.class") != F.col("o.class")) & _sizes_fit(F.col("p.n"), F.col("o.n"), percent))
         pairs = met.select(F.least("p.fp", "o.fp").alias("a"), F.greatest("p.fp", "o.fp").alias("b"))
         pairs = common.written(spark, pairs.distinct(), "similar-met")
         pairs = common.written(spark, _near(prints, pairs, percent), "similar-near")
-        pairs = common.written(spark, _sharing(prints, pairs), "similar-pairs")
         common.swept(spark)
-        found.append(_similar(docs, prints, pairs, words, percent))
+        if pairs.count() > _BROADCAST:
+            pairs = common.written(spark, _sharing(prints, pairs), "similar-pairs")
+            common.swept(spark)
+        nodes = joined(nodes, pairs)
         left, turn = open_.where(~drawn).select("key", "fp", "n"), turn + 1
-    return reduce(DataFrame.union, found)
+    return nodes
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, dense: int = DENSE) -> DataFrame:
     """The rows of ``docs`` with one document of each class of similar ones: the one that :func:`simhash.keep_one` would keep of it."""
     prints = common.written(docs.sparkSession, with_keys(docs, words, percent), "similar")
-    return simhash.survivors(docs, prints, simhash.classes(prints, edges=links(docs, prints, words, percent, dense)))
+    return simhash.survivors(docs, prints, simhash.classes(prints, nodes=links(docs, prints, words, percent, dense)))
