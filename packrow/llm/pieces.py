@@ -9,7 +9,8 @@
    place. A BPE model defines another path than the best sum, so there the fold applies its merges to
    the same lattice. Both give what the model's library gives.
 4. Every block of documents gets the paths of its own words and puts its documents together. Blocks are ranges
-   of doc_id with about ``BLOCK_BYTES`` of text, and each has a partition of its own.
+   of doc_id with about ``BLOCK_BYTES`` of text, and each has a partition of its own. Words and paths travel
+   sorted and compressed, many of a block in one row.
 
 Characters that no piece has become byte pieces, or the unknown id where the model has none.
 """
@@ -22,6 +23,7 @@ from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,6 +283,23 @@ def word_paths(words: DataFrame, path: str) -> DataFrame:
     return edges(words, m).select("word", chosen.alias("path"), *[c for c in words.columns if c != "word"])
 
 
+def packed_words(words: pa.Array, paths: np.ndarray) -> bytes:
+    """Sorted words of at most MAX_WORD characters and their paths, compressed: lengths in bytes, paths byte by byte, texts."""
+    lengths = pc.binary_length(words).to_numpy().astype(np.uint8)
+    planes = paths.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"")[0].as_py()
+    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + planes.tobytes() + texts)
+
+
+def unpacked_words(n: int, data: bytes) -> tuple[list[str], list[int]]:
+    """The words and paths of :func:`packed_words`."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    ends = np.cumsum(np.frombuffer(raw, np.uint8, n), dtype=np.int32)
+    paths = np.frombuffer(raw, np.uint8, 8 * n, n).reshape(8, n).T.copy().view("<i8").ravel()
+    offsets = np.concatenate([np.zeros(1, np.int32), ends])
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(raw[9 * n :])).to_pylist(), paths.tolist()
+
+
 def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256, round_trip) for every row of ``docs``.
 
@@ -320,13 +339,36 @@ def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
         yield from flush()
 
     words = narrow.mapInArrow(pairs, "word string, block int").repartition(common.partitions(spark), "word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    known = word_paths(words, path).select(F.explode("blocks").alias("block"), F.lit(0).alias("kind"), F.col("path").alias("n"), F.col("word").cast("binary").alias("data"))
+    known = word_paths(words, path).select(F.explode("blocks").alias("block"), "path", F.col("word").cast("binary").alias("word"))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words and paths of a task by block."""
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pc.sort_indices(rows, [("block", "ascending"), ("word", "ascending")])).combine_chunks()
+            held.clear()
+            blocks_, paths = rows["block"].to_numpy(), rows["path"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], blocks_[1:] != blocks_[:-1]])).tolist()
+            ends = [*starts[1:], len(blocks_)]
+            data = [packed_words(rows["word"].slice(a, b - a).combine_chunks(), paths[a:b]) for a, b in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks_[starts], pa.int32()), pa.array(np.zeros(len(starts), np.int32)), pa.array(np.subtract(ends, starts).astype(np.int64)), pa.array(data, pa.binary())], names=["block", "kind", "n", "data"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) > _HELD:
+                yield from flush()
+        if held:
+            yield from flush()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for part, texts in common.text_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ranges.of(part.column(0))), pa.array(np.ones(part.num_rows, np.int32)), part.column(0).cast(pa.int64()), pa.array([squeeze.compress(x.encode()) for x in texts], pa.binary())], names=["block", "kind", "n", "data"])
 
+    known = known.mapInArrow(gathered, "block int, kind int, n long, data binary")
     rows = known.union(narrow.mapInArrow(packed, "block int, kind int, n long, data binary")).repartition(ranges.n, "block").sortWithinPartitions("block", "kind")
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,11 +396,12 @@ def encoded(docs: DataFrame, path: str, blocks: int | None = None) -> DataFrame:
                 if blocks_[start] != block:
                     block, begun, inside = blocks_[start], {}, {}
                 if kinds[start] == 0:
-                    for w, p in zip(part.column(3).cast(pa.string()).to_pylist(), part.column(2).to_pylist(), strict=True):
-                        if w[0] == SPACE:
-                            begun[w[1:]] = m.ids(w, p)
-                        else:
-                            inside[w] = m.ids(w, p)
+                    for n, data in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                        for w, p in zip(*unpacked_words(n, data.as_py()), strict=True):
+                            if w[0] == SPACE:
+                                begun[w[1:]] = m.ids(w, p)
+                            else:
+                                inside[w] = m.ids(w, p)
                     continue
                 for i in range(0, part.num_rows, 64):
                     few = part.slice(i, 64)
