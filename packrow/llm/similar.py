@@ -10,7 +10,8 @@ missed; pairs that share k keys are compared exactly, if their sketches are near
 
 A key of over ``DENSE`` sets is not compared pairwise but with pivots, in rounds with ever more of them, which
 are drawn from the sets outside the key's largest class. A key is done when all its sets that were no
-pivot are in one class; until then every pair of different classes gets compared.
+pivot are in one class; until then every pair of different classes gets compared that can share k dense keys, as
+both have so many. Where one has fewer, a similar pair shares the others of its k in keys that are not dense, and is found there.
 
 Shingles and sets stand for themselves by 64-bit hashes.
 """
@@ -150,6 +151,14 @@ def _needed(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.least(a, b) / _EVERY))
 
 
+def _elsewhere(needed: Column, crowded: Column) -> Column:
+    """How many of the needed keys a similar pair shares outside dense ones, ``crowded`` being the fewer dense keys of the two.
+
+    With enough dense keys the pair is compared at any of them it shares; if it shares none, all are outside.
+    """
+    return F.when(crowded >= needed, needed).otherwise(needed - crowded)
+
+
 def _sharing(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that share enough of all their keys: a fraction of what comparing whole sets moves."""
     spark = prints.sparkSession
@@ -200,17 +209,21 @@ def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int =
     sizes = keyed.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     shared = common.written(spark, keyed.join(sizes, "key"), "similar-keys")
     common.swept(spark)
-    few = shared.where(F.col("many") <= dense)
+    crowded = shared.where(F.col("many") > dense).groupBy("fp").agg(F.count("*").alias("crowded"))
+    crowded = common.written(spark, crowded, "similar-crowded")
+    looked = F.broadcast if crowded.count() <= _BROADCAST else lambda x: x
+    few = shared.where(F.col("many") <= dense).join(looked(crowded), "fp", "left").withColumn("crowded", F.coalesce("crowded", F.lit(0)))
     a, b = few.alias("a"), few.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _sizes_fit(F.col("a.n"), F.col("b.n"), percent))
-    needed = _needed(F.col("a.n"), F.col("b.n"))
+    needed = _elsewhere(_needed(F.col("a.n"), F.col("b.n")), F.least("a.crowded", "b.crowded"))
     pairs = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("keys"), F.min(needed).alias("needed")).where("keys >= needed").select("a", "b")
     apart = _classed(_classed(common.written(spark, pairs, "similar-met"), nodes, "a", "ca"), nodes, "b", "cb").where("ca <> cb").select("a", "b")
     pairs = common.written(spark, _near(prints, apart, percent), "similar-pairs")
     common.swept(spark)
-    # A pair that also shares dense keys may miss the number here, but is compared at those.
     nodes = joined(nodes, pairs)
-    left = shared.where(F.col("many") > dense).select("key", "fp", "n")
+    # Sets with fewer dense keys than they would share with the smallest similar set have met theirs above.
+    able = F.col("crowded") >= _needed(F.ceil(percent * F.col("n") / 100), F.col("n"))
+    left = shared.where(F.col("many") > dense).join(looked(crowded), "fp").where(able).select("key", "fp", "n", "crowded")
     everyone, turn = left, 0
     while not left.isEmpty():
         counts = _classed(left, nodes).groupBy("key", "class").agg(F.count("*").alias("n"))
@@ -221,7 +234,8 @@ def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int =
         step = F.ceil(F.col("minor") / (pivots << 2 * turn))
         drawn = (F.col("class") != F.col("major")) & (F.pmod(F.xxhash64("fp", F.lit(turn)), step) == 0)
         p, o = open_.where(drawn).alias("p"), _classed(everyone, nodes).alias("o")
-        met = p.join(o, (F.col("p.key") == F.col("o.key")) & (F.col("p.class") != F.col("o.class")) & _sizes_fit(F.col("p.n"), F.col("o.n"), percent))
+        able = F.least("p.crowded", "o.crowded") >= _needed(F.col("p.n"), F.col("o.n"))
+        met = p.join(o, (F.col("p.key") == F.col("o.key")) & (F.col("p.class") != F.col("o.class")) & _sizes_fit(F.col("p.n"), F.col("o.n"), percent) & able)
         pairs = met.select(F.least("p.fp", "o.fp").alias("a"), F.greatest("p.fp", "o.fp").alias("b"))
         pairs = common.written(spark, pairs.distinct(), "similar-met")
         pairs = common.written(spark, _near(prints, pairs, percent), "similar-near")
@@ -230,7 +244,7 @@ def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, percent: int =
             pairs = common.written(spark, _sharing(prints, pairs), "similar-pairs")
             common.swept(spark)
         nodes = joined(nodes, pairs)
-        left, turn = open_.where(~drawn).select("key", "fp", "n"), turn + 1
+        left, turn = open_.where(~drawn).select("key", "fp", "n", "crowded"), turn + 1
     return nodes
 
 
